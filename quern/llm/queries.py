@@ -42,4 +42,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_byte_bpe": op5_byte_bpe, "op8_token_counts": op8_token_counts}
+def _judged(scored: DataFrame, column: str, least: float) -> DataFrame:
+    from .labelled import fold
+
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col(column).alias("score"), (F.col(column) >= least).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import scored, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(scored(docs, train(docs, table(spark, sf_dir, "labels"))), "quality_score", 0.3)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(scored(docs, train(docs, table(spark, sf_dir, "labels"))), "toxicity", 0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_byte_bpe, op7_toxicity, op8_token_counts)}
