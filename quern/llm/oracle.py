@@ -16,4 +16,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1}
+OP6 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS n, lower(sha1(b)) AS hex FROM p),
+bits AS (SELECT page_id, n, hex, list_aggregate(list_transform(range(1, 41), lambda i: right('000' || bin(strpos('0123456789abcdef', hex[i]) - 1), 4)), 'string_agg', '') AS bits FROM h),
+d AS (SELECT page_id, n, hex, list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + CAST(list_sum(list_transform(range(1, 6), lambda j: CAST(bits[5 * i + j] AS INTEGER) * CAST(pow(2, 5 - j) AS INTEGER))) AS INTEGER), 1)), 'string_agg', '') AS digest FROM bits)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM d WINDOW w AS (PARTITION BY hex, n)
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op6_warc": OP6}

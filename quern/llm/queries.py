@@ -62,4 +62,16 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored(docs, train(docs, table(spark, sf_dir, "labels"))), "toxicity", 0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality, op5_byte_bpe, op7_toxicity, op8_token_counts)}
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extracted
+
+    return extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts)}
