@@ -62,6 +62,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scored(docs, train(docs, table(spark, sf_dir, "labels"))), "toxicity", 0.5)
 
 
+def op2_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import edits
+
+    return edits(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extracted
 
@@ -74,4 +80,4 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_imatch, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts)}
