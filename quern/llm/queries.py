@@ -80,4 +80,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_imatch, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts)}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_imatch, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts, op9_jaccard_join)}
