@@ -86,4 +86,11 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), 3, 90)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_imatch, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts, op9_jaccard_join)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduplicated
+
+    out = deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_imatch, op3_html_text, op4_quality, op5_byte_bpe, op6_warc, op7_toxicity, op8_token_counts, op9_jaccard_join, op10_line_dedup)}
