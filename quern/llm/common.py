@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps, whose results are written tables by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """A table written to the shared folder, which cuts lineage and survives lost executors."""
 
@@ -67,6 +74,7 @@ class Scratch:
         self.spark = df.sparkSession
         self.path = scratch_path(self.spark, what)
         df.write.option("compression", "zstd").parquet(self.path)
+        free(self.spark)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,14 +33,24 @@ from .common import Scratch, connected, tune, written
 SLOTS = 1 << 22
 #: Sets, and shingles in them, that one task joins at once; pivots of a cut; cuts before blocks.
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
+#: More regions than this are told apart by a shuffle instead of a table sent to every executor.
+SEND_REGIONS = 10_000
 _EDGE = "u binary, v binary"
 
 
+class _Words(dict):
+    """64-bit hashes of words, made as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Word n-gram hashes of texts; remembers the hashes of words."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
+        self.n, self.known = n, _Words()
         self.factor = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(n + 1)], np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -47,14 +58,9 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
         if not words:
             return np.zeros(0, np.uint64)
-        known = self.known
-        new = set(words).difference(known)
-        if new:
-            if len(known) + len(new) > 1 << 19:
-                known.clear()
-                new = set(words)
-            known.update((w, int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")) for w in new)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self.known) > 1 << 20:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         k = min(self.n, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
         for i in range(k):
@@ -73,8 +79,10 @@ def _hot(n: int):
     def run(batches):
         shingle, count = Shingler(n), np.zeros(SLOTS, np.uint32)
         for b in batches:
-            for t in b.column("text"):
-                np.add.at(count, (shingle(t.as_py()) >> np.uint64(42)).astype(np.int64), 1)
+            own = [shingle(t.as_py()) for t in b.column("text")]
+            if own:
+                slot, k = np.unique((np.concatenate(own) >> np.uint64(42)).astype(np.int64), return_counts=True)
+                count[slot] += k.astype(np.uint32)
         mean = count.mean()
         at = np.flatnonzero(count > mean + 6 * np.sqrt(mean) + 6)
         for s in range(0, len(at), 1 << 16):
@@ -217,11 +225,12 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
         large = (F.col("sets") > REGION_SETS) | (F.col("shingles") > REGION_SHINGLES)
         large = size.where(large & (F.col("sets") > 1))
         n_large = large.count()
-        small = rows.join(large.select("region"), "region", "left_anti") if n_large else rows
+        names = F.broadcast(large) if n_large <= SEND_REGIONS else large
+        small = rows.join(names.select("region"), "region", "left_anti") if n_large else rows
         out.append(written(small.select("region", "key", "set").repartition("region").sortWithinPartitions("region").mapInArrow(_joined(share), _EDGE), "links"))
         if not n_large:
             return out
-        rows = rows.join(large.select("region", "sets", "shingles"), "region")
+        rows = rows.join(names.select("region", "sets", "shingles"), "region")
         if level == CUTS:
             break
         share_of = rows.where(F.pmod(F.xxhash64("key", F.lit(level)), F.col("sets")) < 4 * PIVOTS).withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("key", F.lit(level + 100)), "key")))
@@ -280,7 +289,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFram
 
     hashed = docs.select("text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 24)).alias("h"))
     sets = hashed.mapInArrow(wanted, "key binary, n long, set binary")
-    rows = sets.join(cluster, "key").dropDuplicates(["key"]).select("region", "key", "n", "set")
+    rows = written(sets.join(cluster, "key").select("region", "key", "n", "set"), "sets")
     links = join_regions(rows, share)
     edges = links[0]
     for x in links[1:]:
