@@ -143,10 +143,17 @@ def test_jaccard_components(spark, monkeypatch, sets):
 
 
 def test_line_dedup(spark):
-    from quern.llm.line_dedup import deduplicated
+    """Equal normalised lines always go; similar ones at least where their SimHashes differ in three bits at most."""
+    from quern.llm.line_dedup import deduplicated, line_hashes
 
-    line = "alpha bravos gamma deltas epsilon zetas thetas iotas kappas lambda omicron sigmas upsilon omegas"
-    got = defaultdict(list)
-    for r in deduplicated(docs(spark, [line + "\nshort", line.upper() + "!\nshort", line.replace("kappas", "kippas"), None, "", "quite other words in this line"])).collect():
-        got[r.doc_id].append((r.text, r.n_dropped))
-    assert [got[i][0] for i in range(6)] == [(line + "\nshort", 0), ("short", 1), ("", 1), (None, 0), ("", 0), ("quite other words in this line", 0)]
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(120)]
+    line = " ".join(words)
+    texts = [line + "\nshort", line.upper() + "!\nshort", None, "", "quite other words in this line"]
+    texts += [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in range(0, 120, 8)]
+    d = docs(spark, texts)
+    got = {r.doc_id: r for r in deduplicated(d).collect()}
+    assert [(got[i].text, got[i].n_dropped) for i in range(5)] == [(texts[0], 0), ("short", 1), (None, 0), ("", 0), (texts[4], 0)]
+    sim = {r.doc_id: r.sim for r in line_hashes(d).collect()}
+    near = [i for i in range(5, len(texts)) if bin(sim[i] ^ sim[0]).count("1") <= 3]
+    assert near and all(got[i].n_dropped == 1 for i in near)
+    assert deduplicated(d.limit(0)).count() == 0
