@@ -58,6 +58,22 @@ def _segments(text: str, added: tuple[str, ...]):
             yield from pieces(part)
 
 
+class _Numbers(dict):
+    """Numbers pre-tokens in the order they come; known single tokens get -1."""
+
+    def __init__(self, single: frozenset[str]):
+        self.single, self.names = single, []
+
+    def __missing__(self, piece: str) -> int:
+        if piece in self.single:
+            n = -1
+        else:
+            n = len(self.names)
+            self.names.append(piece)
+        self[piece] = n
+        return n
+
+
 _POST = np.dtype([("d", "<u2"), ("f", "<u4")])
 _HEAD = np.dtype([("d", "<i8"), ("no_id", "?"), ("bytes", "<i8"), ("direct", "<i8")])
 
@@ -65,15 +81,16 @@ _HEAD = np.dtype([("d", "<i8"), ("no_id", "?"), ("bytes", "<i8"), ("direct", "<i
 def _chunks(batches, path: str, postings: bool):
     """With postings, rows (chunk, piece, packed); a null piece heads a chunk: its documents in order. Else rows (piece)."""
     single, added = _known(path)
-    number: dict[str, int] = {}
+    number = _Numbers(single)
     ids, doc_of, head, chars, base = [], [], [], 0, 0
+    seen: set[str] = set()
     if postings:
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
 
     def flush():
-        names = list(number)
+        names = number.names if postings else list(seen)
         if not postings:
             for s in range(0, len(names), 1 << 15):
                 yield pa.RecordBatch.from_arrays([pa.array(names[s : s + (1 << 15)], pa.string())], names=["piece"])
@@ -98,15 +115,20 @@ def _chunks(batches, path: str, postings: bool):
         for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             direct = 0
             for part in _segments(text, added) if text else ():
-                rest = [p for p in part if p not in single]
-                direct += len(part) - len(rest)
-                ids.append(np.fromiter((number.setdefault(p, len(number)) for p in rest), np.int64, len(rest)))
+                if not postings:
+                    seen.update(set(part) - single)
+                    continue
+                own = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
+                rest = own[own >= 0]
+                direct += len(own) - len(rest)
+                ids.append(rest)
                 doc_of.append(len(head))
             chars += len(text or "")
             head.append((d, len((text or "").encode("utf-8", "surrogatepass")), direct))
             if chars >= CHUNK_CHARS or len(head) >= CHUNK_DOCS:
                 yield from flush()
-                number, ids, doc_of, head, chars, base = {}, [], [], [], 0, base + 1
+                number, ids, doc_of, head, chars, base = _Numbers(single), [], [], [], 0, base + 1
+                seen.clear()
     if head:
         yield from flush()
 
