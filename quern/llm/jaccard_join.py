@@ -2,16 +2,16 @@
 
 Jaccard distance is a metric, but sets of unrelated documents all lie near distance 1 from any pivot
 and from each other, so windows around pivots alone prune nothing among them. Before pivots are
-drawn, space is therefore cut along shared rare shingles: two sets that link must share one among
-their first few in any fixed order (their size fixes how few), and their sizes must be close.
-Groups that are connected by such a share are clusters; no link leaves a cluster. The order puts
-shingles last that many documents have, by a bounded count of hashed shingles.
+drawn, space is therefore cut by pigeonholes: shingles are dealt to so many parts by their hash that
+linked sets, which differ in few shingles, must have at least one part in common that is not empty. Sets
+connected by such equal parts are clusters; no link leaves a cluster.
 
 A cluster that fits a task is joined there. A larger one is cut by pivots: a set goes to the region
-of its nearest pivot, and to each other region whose pivot is at most twice the threshold farther. In
-a region, sets that the pivot links already are one component; they stay only while an unlinked set
-is within the threshold of their distance to the pivot. Regions that are still too large are cut
-again; what pivots can't cut is joined block against block. Only links of a spanning forest leave a task.
+of its nearest pivot, or, beyond RADIUS from all, to one outer region; and to each other region that
+the triangle inequality allows a linked set to be in. In a region, sets that the pivot links already
+are one component; they stay only while an unlinked set is within the threshold of their distance to
+the pivot. Regions that are still too large are cut again; what pivots can't cut is joined block
+against block. Only links of a spanning forest leave a task.
 
 Equal sets are one node. Shingles are 64-bit hashes; within a pair of documents they stand for the words.
 """
@@ -30,11 +30,12 @@ from pyspark.sql.window import Window
 
 from .common import Scratch, connected, tune, written
 
-SLOTS = 1 << 22
 #: Sets, and shingles in them, that one task joins at once; pivots of a cut; cuts before blocks.
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
-#: More regions than this are told apart by a shuffle instead of a table sent to every executor.
-SEND_REGIONS = 10_000
+#: Distance up to which a set belongs to its nearest pivot; growth in rows from which a cut is given up for blocks.
+RADIUS, GROWTH = 0.5, 1.5
+#: More regions, or more bytes of pivots, than this are told apart by a shuffle instead of being sent to every executor.
+SEND_REGIONS, SEND_BYTES = 10_000, 32 << 20
 _EDGE = "u binary, v binary"
 
 
@@ -73,42 +74,69 @@ def set_key(raw: bytes) -> bytes:
     return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def _hot(n: int):
-    """(slot, n) of shingle slots that stand out in a partition."""
-
-    def run(batches):
-        shingle, count = Shingler(n), np.zeros(SLOTS, np.uint32)
-        for b in batches:
-            own = [shingle(t.as_py()) for t in b.column("text")]
-            if own:
-                slot, k = np.unique((np.concatenate(own) >> np.uint64(42)).astype(np.int64), return_counts=True)
-                count[slot] += k.astype(np.uint32)
-        mean = count.mean()
-        at = np.flatnonzero(count > mean + 6 * np.sqrt(mean) + 6)
-        for s in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[s : s + (1 << 16)]), pa.array(count[at[s : s + (1 << 16)]].astype(np.int64))], names=["slot", "n"])
-
-    return run
+class Pigeonholes:
+    """Signatures of shingle sets: linked sets, if they differ, have one in common.
 
+    Sizes fall into classes a factor of 100 / share apart, so that linked sets are in the same or in
+    adjacent classes; each set signs for its own class and the one below. In a class, linked sets differ
+    in at most `most` shingles, hence in as many parts. With most + 1 + spare parts they agree on more than
+    `spare`, and so on one that isn't empty, unless both have more than `spare` empty parts, which is
+    a signature of its own (rare: spare is some deviations above the expected number).
+    """
 
-def _signed(n: int, share: int, weight):
-    """(doc_id, n_shingles, key, prefix): the prefix holds the first shingles in the common order."""
+    def __init__(self, share: int):
+        self.t, self.parts = share / 100, {}
+
+    def layout(self, c: int) -> tuple[int, int]:
+        """(parts, spare) of a class."""
+        if c not in self.parts:
+            least = max(1.0, (1 / self.t) ** c)
+            most = int((1 - self.t) / self.t * int(least / self.t * (1 + 1e-6)) + 1e-9)
+            spare = 0
+            for _ in range(3 if most else 0):
+                m = most + 1 + spare
+                mean = m * (1 - 1 / m) ** least
+                spare = int(mean + 5 * np.sqrt(mean) + 1)
+            self.parts[c] = (most + 1 + spare, spare)
+        return self.parts[c]
+
+    def __call__(self, s: np.ndarray) -> np.ndarray:
+        """Signatures of ascending distinct 64-bit hashes; none if only equal sets link."""
+        if not len(s):
+            return np.zeros(0, np.uint64)
+        own = int(np.log(len(s)) / np.log(1 / self.t) + 1e-9) if self.t < 1 else 0
+        mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        out = []
+        for c in {own, max(0, own - 1)}:
+            m, spare = self.layout(c)
+            if m == 1:
+                continue
+            part = np.arange(m, dtype=np.uint64)
+            at = np.searchsorted(s, part * np.uint64((1 << 64) // m))
+            full = np.diff(np.append(at, len(s))) > 0
+            x = np.add.reduceat(mixed, at[full]) ^ ((part[full] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            if m - full.sum() > spare:
+                x = np.append(x, np.uint64(0))
+            x = (x + np.uint64(c + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            out.append(x ^ (x >> np.uint64(32)))
+        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _signed(n: int, share: int):
+    """(doc_id, n_shingles, key, signs)"""
 
     def run(batches):
-        shingle = Shingler(n)
+        shingle, signs_of = Shingler(n), Pigeonholes(share)
         for b in batches:
-            sizes, keys, prefix = [], [], []
+            sizes, keys, signs = [], [], []
             for t in b.column("text"):
                 s = shingle(t.as_py())
                 sizes.append(len(s))
                 keys.append(set_key(s.tobytes()) if len(s) else None)
-                if len(s):
-                    order = np.lexsort((s, weight.value[(s >> np.uint64(42)).astype(np.int64)]))
-                    s = s[order[: len(s) - -(-share * len(s) // 100) + 1]]
-                prefix.append(s.view(np.int64))
+                signs.append(signs_of(s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "prefix"],
+                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "key", "signs"],
             )
 
     return run
@@ -195,31 +223,39 @@ def _joined(share: int):
     return run
 
 
-def _cut(share: int):
-    """Rows with their cluster's pivots -> rows (region, key, n, set, d, linked, pivot): one for each region they are in."""
+_CUT = "parent binary, region binary, key binary, n long, set binary, d double, linked boolean, pivot binary"
+
+
+def _cut(share: int, pivots=None):
+    """Rows of large clusters -> a row for each region they are in. pivots: region -> [(key, set)], sent, or None where rows carry them."""
     eps = 1 - share / 100
 
     def run(batches):
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                s = np.frombuffer(r["set"], np.uint64)
-                found = [_distance(s, np.frombuffer(p["set"], np.uint64)) for p in r["pivots"]]
+            for k in range(b.num_rows):
+                r = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                s, home = np.frombuffer(r["set"], np.uint64), r["region"]
+                own = [(p["key"], p["set"]) for p in r["pivots"]] if pivots is None else pivots.value[home]
+                found = [_distance(s, np.frombuffer(p, np.uint64)) for _, p in own]
                 d = [1 - c / u for c, u in found]
                 best = min(d)
-                for p, x, (c, u) in zip(r["pivots"], d, found):
-                    if x <= best + 2 * eps + 1e-9:
-                        rows.append((r["region"] + p["key"][:6], r["key"], r["n"], r["set"], x, 100 * c >= share * u, p["key"]))
+                if best > RADIUS:
+                    rows.append((home, home + b"outer.", r["key"], r["n"], r["set"], 2.0, False, b""))
+                for (p, _), x, (c, u) in zip(own, d, found):
+                    if x <= min(best + 2 * eps, RADIUS + eps) + 1e-9:
+                        rows.append((home, home + p[:6], r["key"], r["n"], r["set"], x, 100 * c >= share * u, p))
             if rows:
-                kinds = [pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.float64(), pa.bool_(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["region", "key", "n", "set", "d", "linked", "pivot"])
+                kinds = [pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.float64(), pa.bool_(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["parent", "region", "key", "n", "set", "d", "linked", "pivot"])
 
     return run
 
 
 def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
     """Links (u, v) among rows (region, key, n, set) within regions, exactly; regions may have any size."""
-    out = []
+    out, whole = [], []
+    spark = rows.sparkSession
     for level in range(CUTS + 1):
         size = written(rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")), "regions")
         large = (F.col("sets") > REGION_SETS) | (F.col("shingles") > REGION_SHINGLES)
@@ -229,18 +265,36 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
         small = rows.join(names.select("region"), "region", "left_anti") if n_large else rows
         out.append(written(small.select("region", "key", "set").repartition("region").sortWithinPartitions("region").mapInArrow(_joined(share), _EDGE), "links"))
         if not n_large:
-            return out
+            break
         rows = rows.join(names.select("region", "sets", "shingles"), "region")
         if level == CUTS:
+            whole.append(rows)
             break
         share_of = rows.where(F.pmod(F.xxhash64("key", F.lit(level)), F.col("sets")) < 4 * PIVOTS).withColumn("rank", F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("key", F.lit(level + 100)), "key")))
-        pivots = share_of.where(F.col("rank") <= PIVOTS).groupBy("region").agg(F.collect_list(F.struct("key", "set")).alias("pivots"))
-        cut = Scratch(rows.select("region", "key", "n", "set").join(pivots, "region").mapInArrow(_cut(share), "region binary, key binary, n long, set binary, d double, linked boolean, pivot binary"), "cut")
-        out.append(cut.df.where("linked and key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")))
-        far = cut.df.where("not linked").groupBy("region").agg(F.min("d").alias("far"))
-        rest = cut.df.join(far, "region").where((~F.col("linked")) | (F.col("d") >= F.col("far") - (1 - share / 100) - 1e-9)).where("key <> pivot")
-        lost = rows.join(pivots.select("region"), "region", "left_anti").select("region", "key", "n", "set")
+        drawn = written(share_of.where(F.col("rank") <= PIVOTS).select("region", "key", "set"), "pivots")
+        pivots = drawn.groupBy("region").agg(F.collect_list(F.struct("key", "set")).alias("pivots"))
+        mine = rows.join(F.broadcast(drawn.select("region").distinct()) if n_large <= SEND_REGIONS else drawn.select("region").distinct(), "region", "left_semi").select("region", "key", "n", "set")
+        if (drawn.agg(F.sum(F.octet_length("set") + 100)).first()[0] or 0) <= SEND_BYTES:
+            at: dict = {}
+            for r in drawn.toLocalIterator():
+                at.setdefault(bytes(r["region"]), []).append((bytes(r["key"]), bytes(r["set"])))
+            cut = mine.mapInArrow(_cut(share, spark.sparkContext.broadcast(at)), _CUT)
+        else:
+            cut = mine.join(pivots, "region").mapInArrow(_cut(share), _CUT)
+        cut = Scratch(cut, "cut").df
+        out.append(cut.where("linked and key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")))
+        far = cut.where("not linked").groupBy("region").agg(F.min("d").alias("far"))
+        rest = cut.join(far, "region").where((~F.col("linked")) | (F.col("d") >= F.col("far") - (1 - share / 100) - 1e-9)).where("key <> pivot")
+        grown = written(rest.groupBy(F.col("parent").alias("region")).agg(F.count("*").alias("after")).join(large, "region").where(F.col("after") > GROWTH * F.col("sets")).select("region"), "grown")
+        whole.append(rows.join(grown, "region", "left_semi"))
+        lost = rows.join(drawn.select("region").distinct(), "region", "left_anti").select("region", "key", "n", "set")
+        rest = rest.join(grown.withColumnRenamed("region", "parent"), "parent", "left_anti")
         rows = written(rest.select("region", "key", "n", "set").unionByName(lost), "rest")
+    if not whole:
+        return out
+    rows = whole[0]
+    for x in whole[1:]:
+        rows = rows.unionByName(x)
     # block against block: each set meets each other one in some pair of blocks
     blocks = F.greatest(F.ceil(F.col("sets") / (REGION_SETS // 2)), F.ceil(F.col("shingles") / (REGION_SHINGLES // 2))).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(991)), F.col("blocks")).cast("int")
@@ -260,19 +314,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFram
     """
     spark = tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    weight = np.zeros(SLOTS, np.uint8)
-    for r in docs.select("text").mapInArrow(_hot(n), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
-        weight[r["slot"]] = min(255, 1 + int(8 * np.log2(r["n"])))
-    sent = spark.sparkContext.broadcast(weight)
-    signed = written(docs.mapInArrow(_signed(n, share, sent), "doc_id long, n_shingles long, key binary, prefix array<bigint>"), "signed")
+    signed = written(docs.mapInArrow(_signed(n, share), "doc_id long, n_shingles long, key binary, signs array<bigint>"), "signed")
     some = signed.where("key is not null")
-    nodes = some.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / share)) + 1e-9).cast("int")
-    shared = nodes.select("key", step.alias("b"), F.explode("prefix").alias("t"))
-    heads = written(shared.groupBy("t", "b").agg(F.min("key").alias("m"), F.count("*").alias("c")).withColumn("next", F.max(F.struct("b", "m")).over(Window.partitionBy("t").orderBy("b").rowsBetween(1, 1))).where("c > 1 or next.b = b + 1"), "heads")
-    near = heads.where("next.b = b + 1").select(F.col("m").alias("u"), F.col("next.m").alias("v"))
-    member = shared.join(heads.where("c > 1").select("t", "b", "m"), ["t", "b"]).where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v"))
-    cluster = written(connected(near.unionAll(member)).select(F.col("node").alias("key"), F.col("root").alias("region")), "clusters")
+    nodes = some.groupBy("key").agg(F.first("signs").alias("signs"))
+    shared = nodes.select("key", F.explode("signs").alias("t"))
+    heads = shared.groupBy("t").agg(F.min("key").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
+    member = shared.join(heads, "t").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v"))
+    cluster = written(connected(member).select(F.col("node").alias("key"), F.col("root").alias("region")), "clusters")
     bits = np.zeros(1 << 24, bool)
     active = some.join(cluster, "key").groupBy("key", "region").agg(F.min("doc_id").alias("least"))
     for r in active.select(F.pmod(F.xxhash64(F.coalesce("least", F.lit(0))), F.lit(1 << 24)).alias("h")).distinct().toLocalIterator():
