@@ -157,3 +157,39 @@ def test_line_dedup(spark):
     near = [i for i in range(5, len(texts)) if bin(sim[i] ^ sim[0]).count("1") <= 3]
     assert near and all(got[i].n_dropped == 1 for i in near)
     assert deduplicated(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("share", [50, 80, 90])
+def test_pigeonholes_miss_no_link(share):
+    import numpy as np
+
+    from quern.llm.jaccard_join import Pigeonholes
+
+    rng, signs, linked = np.random.default_rng(5), Pigeonholes(share), 0
+    for _ in range(2000):
+        n = int(rng.integers(2, 400))
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        most = n * (100 - share) // 100 + 1
+        b = np.concatenate([a[: n - int(rng.integers(0, most + 1))], rng.integers(0, 1 << 64, int(rng.integers(0, most + 1)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        c = len(np.intersect1d(a, b))
+        u = len(a) + len(b) - c
+        if c < u and 100 * c >= share * u:
+            linked += 1
+            assert len(np.intersect1d(signs(a), signs(b)))
+    assert linked > 300
+    assert not len(signs(np.zeros(0, np.uint64)))
+
+
+def test_simhash_counts_long_lines(spark):
+    from quern.llm.line_dedup import line_hashes
+
+    texts = [" ".join("word%d" % (i * i % 9001) for i in range(n)) for n in (5, 127, 128, 3000)]
+    d = docs(spark, [*texts, None, ""])
+    word = d.select(F.explode(F.split("text", " ")).alias("w")).distinct().select("w", F.xxhash64("w").alias("x"))
+    x = {r.w: r.x for r in word.collect()}
+    got = {r.doc_id: r.sim for r in line_hashes(d).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for i, t in enumerate(texts):
+        w = t.split()
+        assert got[i] == sum(1 << b for b in range(63) if 2 * sum(x[v] >> b & 1 for v in w) > len(w))
