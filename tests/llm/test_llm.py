@@ -193,3 +193,44 @@ def test_simhash_counts_long_lines(spark):
     for i, t in enumerate(texts):
         w = t.split()
         assert got[i] == sum(1 << b for b in range(63) if 2 * sum(x[v] >> b & 1 for v in w) > len(w))
+
+
+def _by_brute_force(lines, least=5):
+    """For each line: whether an earlier one is linked with it, directly or through others, by word edits within a fifth."""
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x):
+            last, row[0] = row[0], i + 1
+            for j, b in enumerate(y):
+                last, row[j + 1] = row[j + 1], min(row[j] + 1, row[j + 1] + 1, last + (a != b))
+        return row[-1]
+
+    w = [x.split() for x in lines]
+    root = list(range(len(w)))
+    for i in range(len(w)):
+        for j in range(i):
+            if w[i] == w[j] or min(len(w[i]), len(w[j])) >= least and 5 * distance(w[i], w[j]) <= max(len(w[i]), len(w[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return [r != i for i, r in enumerate(root)]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    """Every two lines within the edit similarity are linked, whatever their words: one change of 5, 8 or 14 words, 20 of 100."""
+    from quern.llm.line_dedup import deduplicated
+
+    rng, lines = np.random.default_rng(3), []
+    for n in (5, 6, 8, 9, 10, 14, 15, 20, 24, 40, 100):
+        for _ in range(4):
+            vocabulary = [f"w{i}" if n % 2 else f"longword{i}" for i in range(int(rng.choice([3, 40, 3000])))]
+            base = rng.choice(vocabulary, n).tolist()
+            lines.append(" ".join(base))
+            for edits in (1, n // 5, n // 5 + 1):
+                now = list(base)
+                for _ in range(edits):
+                    at, kind = int(rng.integers(0, len(now))), int(rng.integers(0, 3))
+                    now[at : at + (kind < 2)] = [str(rng.choice(vocabulary))] if kind else []
+                if len(now) >= 5:
+                    lines.append(" ".join(now))
+    got = {r.doc_id: r.n_dropped for r in deduplicated(docs(spark, lines)).collect()}
+    assert [got[i] == 1 for i in range(len(lines))] == _by_brute_force(lines)
