@@ -234,3 +234,14 @@ def test_line_dedup_equals_brute_force(spark):
                     lines.append(" ".join(now))
     got = {r.doc_id: r.n_dropped for r in deduplicated(docs(spark, lines)).collect()}
     assert [got[i] == 1 for i in range(len(lines))] == _by_brute_force(lines)
+
+
+def test_short_lines_repeat_too(spark, tmp_path):
+    """op10 drops equal lines of any length, also in scripts without spaces; blank lines stay."""
+    from quern.llm.queries import QUERIES
+
+    thai, texts = "\u0e01\u0e32\u0e23\u0e17\u0e14\u0e2a\u0e2d\u0e1a", ["all rights reserved\n\none", "All rights  reserved!\n\ntwo", None, "***\n* **\none two"]
+    d = docs(spark, [*texts, f"\u4e2d\u6587\u6bb5\u843d\n{thai}", f"{thai}\n\u4e2d\u6587\u6bb5\u843d\u3002\nthree"])
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.text, r.n_dropped) for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 5)] == [(texts[0], 0), ("\ntwo", 1), (None, 0), ("***\none two", 1), ("three", 2)]
