@@ -245,3 +245,12 @@ def test_short_lines_repeat_too(spark, tmp_path):
     d.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: (r.text, r.n_dropped) for r in QUERIES["op10_line_dedup"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in (0, 1, 2, 3, 5)] == [(texts[0], 0), ("\ntwo", 1), (None, 0), ("***\none two", 1), ("three", 2)]
+
+
+def test_copies_with_short_and_blank_lines_go(spark):
+    import corpus_pipeline
+
+    text = "a line of some more words\n\nshort\n \u00a0\n---"
+    d = docs(spark, [text, text, None, "", "\n", text + "\nown"])
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, d, "").collect()}
+    assert got == {0: text, 2: None, 3: "", 4: "\n", 5: "\n \u00a0\nown"}
