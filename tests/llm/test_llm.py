@@ -254,3 +254,14 @@ def test_copies_with_short_and_blank_lines_go(spark):
     d = docs(spark, [text, text, None, "", "\n", text + "\nown"])
     got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, d, "").collect()}
     assert got == {0: text, 2: None, 3: "", 4: "\n", 5: "\n \u00a0\nown"}
+
+
+def test_lines_of_short_words_are_like_others(spark):
+    from quern.llm.line_dedup import deduplicated, line_hashes
+
+    d = docs(spark, ["we are all in the same old boat", "we are all in the same new boat", "it is not so far to go by foot"])
+    assert {r.doc_id: r.n_dropped for r in deduplicated(d).collect()} == {0: 0, 1: 1, 2: 0}
+    words = d.select("doc_id", F.explode(F.split("text", " ")).alias("w")).select("doc_id", F.xxhash64("w").alias("x")).collect()
+    for r in line_hashes(d).collect():
+        x = [w.x for w in words if w.doc_id == r.doc_id]
+        assert r.sim == sum(1 << b for b in range(63) if 2 * sum(v >> b & 1 for v in x) > len(x))
