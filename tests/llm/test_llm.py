@@ -265,3 +265,12 @@ def test_lines_of_short_words_are_like_others(spark):
     for r in line_hashes(d).collect():
         x = [w.x for w in words if w.doc_id == r.doc_id]
         assert r.sim == sum(1 << b for b in range(63) if 2 * sum(v >> b & 1 for v in x) > len(x))
+
+
+def test_repeated_rows_are_one_document(spark):
+    from quern.llm.line_dedup import deduplicated, line_hashes
+
+    a, b = "one line of a few longer words", "one line of a few other words"
+    once, often = (spark.createDataFrame([(1, a)] * n + [(2, f"{b}\n{a}")] * n, DOCS) for n in (1, 5))
+    assert sorted(map(tuple, line_hashes(once).collect())) == sorted(map(tuple, line_hashes(often).collect()))
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in deduplicated(often).collect()} == {(1, 1, 0), (2, 2, 2)}
