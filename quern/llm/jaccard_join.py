@@ -32,6 +32,8 @@ from .common import Scratch, connected, tune, written
 
 #: Sets, and shingles in them, that one task joins at once; pivots of a cut; cuts before blocks.
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
+#: Parts in which signatures are looked for repeats, one after another.
+PARTS = 6
 #: Distance up to which a set belongs to its nearest pivot; growth in rows from which a cut is given up for blocks.
 RADIUS, GROWTH = 0.5, 1.5
 #: More regions, or more bytes of pivots, than this are told apart by a shuffle instead of being sent to every executor.
@@ -123,7 +125,7 @@ class Pigeonholes:
 
 
 def _signed(n: int, share: int):
-    """(doc_id, n_shingles, key, signs)"""
+    """(doc_id, h, n_shingles, key, signs)"""
 
     def run(batches):
         shingle, signs_of = Shingler(n), Pigeonholes(share)
@@ -135,8 +137,8 @@ def _signed(n: int, share: int):
                 keys.append(set_key(s.tobytes()) if len(s) else None)
                 signs.append(signs_of(s).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "signs"],
+                [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
+                names=["doc_id", "h", "n_shingles", "key", "signs"],
             )
 
     return run
@@ -304,56 +306,101 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
     return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): component_id is the least doc_id that links reach, links being 100 |A and B| >= share |A or B|.
+def _clusters(signed: DataFrame) -> DataFrame:
+    """(id, region): sets, by the hash of their key, that signatures connect with others; region is the least of a cluster.
 
-    Sets are the distinct n-word shingles of whole texts, words being parted by ASCII white space and A-Z
-    lower-cased; a text of fewer words is one shingle; a text without words, or null, has none and
-    links with nothing. One row per row of docs, repeated ids too. A null id takes part in links but is never a
-    component's id; where nothing else is in its component, that is null.
+    Signatures are looked for repeats in parts, so that only a part of them is on disk at once.
     """
+    some = signed.where(F.size("signs") > 0).select(F.xxhash64("key").alias("id"), "signs")
+    edges = None
+    for part in range(PARTS):
+        rows = some.select("id", F.explode(F.filter("signs", lambda x: F.pmod(x, F.lit(PARTS)) == part)).alias("t"))
+        shared = Scratch(rows.groupBy("t").agg(F.min("id").alias("v"), F.max("id").alias("hi")).where("v < hi").select("t", "v"), "shared")
+        found = written(rows.join(shared.df, "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "members")
+        shared.drop()
+        edges = found if edges is None else edges.unionAll(found)
+    return connected(edges).select(F.col("node").alias("id"), F.col("root").alias("region"))
+
+
+def _bitmap(hashes: DataFrame, n: int) -> np.ndarray:
+    """Which of 2 ** k values h takes, k chosen for n hashes: at most 32 MB, put together by executors; a filter, false only for what is certainly not there."""
+    size = 1 << min(28, max(20, (8 * n).bit_length()))
+    at = F.pmod("h", F.lit(size)) + 1
+    part = hashes.groupBy(F.call_function("bitmap_bucket_number", at).alias("b")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", at)).alias("m"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in part.toLocalIterator():
+        raw = np.frombuffer(bytes(r["m"]), np.uint8)
+        first = (r["b"] - 1) * 4096
+        bits[first : first + 4096] = raw[: len(bits) - first]
+    return bits
+
+
+def _grouped(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): a row (doc_id, h, n_shingles, key) for each of docs, and (key, root) of the sets that link with others."""
     spark = tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(docs.mapInArrow(_signed(n, share), "doc_id long, n_shingles long, key binary, signs array<bigint>"), "signed")
-    some = signed.where("key is not null")
-    nodes = some.groupBy("key").agg(F.first("signs").alias("signs"))
-    shared = nodes.select("key", F.explode("signs").alias("t"))
-    heads = shared.groupBy("t").agg(F.min("key").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
-    member = shared.join(heads, "t").where("key <> m").select(F.col("key").alias("u"), F.col("m").alias("v"))
-    cluster = written(connected(member).select(F.col("node").alias("key"), F.col("root").alias("region")), "clusters")
-    bits = np.zeros(1 << 24, bool)
-    active = some.join(cluster, "key").groupBy("key", "region").agg(F.min("doc_id").alias("least"))
-    for r in active.select(F.pmod(F.xxhash64(F.coalesce("least", F.lit(0))), F.lit(1 << 24)).alias("h")).distinct().toLocalIterator():
-        bits[r["h"]] = True
-    mask = spark.sparkContext.broadcast(np.packbits(bits))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = Scratch(docs.mapInArrow(_signed(n, share), "doc_id long, h long, n_shingles long, key binary, signs array<bigint>"), "signed")
+    rows = written(signed.df.drop("signs"), "rows")
+    cluster = written(_clusters(signed.df), "clusters")
+    signed.drop()
+    ids = rows.where("key is not null").select(F.xxhash64("doc_id", "h").alias("h"), "key", F.xxhash64("key").alias("id")).join(cluster, "id")
+    active = written(ids.groupBy("key", "region").agg(F.min("h").alias("h")), "active")  # of equal sets, one document
+    mask = spark.sparkContext.broadcast(_bitmap(active.select("h"), active.count()))
 
     def wanted(batches):
-        on, shingle = np.unpackbits(mask.value), Shingler(n)
+        on, shingle = mask.value, Shingler(n)
+        last = np.int64(len(on) * 8 - 1)
         for b in batches:
-            rows = [(s.tobytes(), len(s)) for t, h in zip(b.column("text"), b.column("h").to_pylist()) if on[h] and len(s := shingle(t.as_py()))]
-            if rows:
-                raw, size = zip(*rows)
+            at = b.column("h").to_numpy() & last
+            keep = np.flatnonzero(on[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            found = [(s.tobytes(), len(s)) for t in b.column("text").take(pa.array(keep)) if len(s := shingle(t.as_py()))]
+            if found:
+                raw, size = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(x) for x in raw], pa.binary()), pa.array(size, pa.int64()), pa.array(raw, pa.binary())], names=["key", "n", "set"])
 
-    hashed = docs.select("text", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(1 << 24)).alias("h"))
-    sets = hashed.mapInArrow(wanted, "key binary, n long, set binary")
-    rows = written(sets.join(cluster, "key").select("region", "key", "n", "set"), "sets")
-    links = join_regions(rows, share)
+    sets = docs.select("text", F.xxhash64("doc_id", "h").alias("h")).mapInArrow(wanted, "key binary, n long, set binary")
+    sets = sets.groupBy("key").agg(F.first("n").alias("n"), F.first("set").alias("set"))  # rows may repeat
+    members = written(sets.join(active.select("key", F.encode(F.col("region").cast("string"), "utf-8").alias("region")), "key").select("region", "key", "n", "set"), "sets")
+    links = join_regions(members, share)
     edges = links[0]
     for x in links[1:]:
         edges = edges.unionAll(x)
-    groups = connected(edges).select(F.col("node").alias("key"), "root")
+    return rows, written(connected(edges).select(F.col("node").alias("key"), "root"), "groups")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id): component_id is the least doc_id that links reach, links being 100 |A and B| >= share |A or B|.
+
+    Sets are the distinct n-word shingles of whole texts, words being parted by ASCII white space and A-Z
+    lower-cased; a text of fewer words is one shingle; a text without words, or null, has none and
+    links with nothing. One row per row of docs, repeated ids too. A null id takes part in links but is never a
+    component's id; where nothing else is in its component, that is null. An empty table gives none.
+    """
+    rows, groups = _grouped(docs, n, share)
+    some = rows.where("key is not null")
     found = some.join(groups, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least = some.groupBy("key").agg(F.min("doc_id").alias("own"))
     by_key = least.join(groups, "key", "left").join(found, "root", "left").select("key", F.coalesce("component_id", "own").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = some.select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "component_id")
+    return out.unionAll(rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """docs without near duplicates: of each component the document with the least doc_id (of equal ids the least text) stays.
+    """docs without near duplicates: of each component one row stays, that of the least doc_id, and of equal ids of the least text hash.
 
-    Documents without words stay, and so do those without an id.
+    A null id comes last. Rows without words stay. Rows that repeat doc_id and text are copies like others: one stays. All columns of docs
+    stay as they are. An empty table gives none.
     """
-    found = jaccard_components(docs, n, share).where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows, groups = _grouped(docs, n, share)
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
+    some = rows.where("key is not null").select("key", place.alias("at"))
+    by_key = some.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("c")).join(groups, "key", "left")
+    several = written(by_key.where("c > 1 or root is not null").select("key", F.coalesce("root", "key").alias("root"), "first"), "several")
+    keep = several.groupBy("root").agg(F.min("first").alias("keep"))
+    copies = some.join(several.join(keep, "root").select("key", "keep"), "key").groupBy("at", "keep").agg(F.count("*").alias("c"))
+    # what to do with all rows of an id and a text: remove them, or all but one
+    todo = written(copies.where("at <> keep or c > 1").select(F.col("at.doc_id").alias("__id"), F.col("at.h").alias("__h"), (F.col("at") == F.col("keep")).alias("__one")), "copies")
+    own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))
+    stay = own.join(todo, same, "left_anti").select(docs.columns)
+    return stay.unionAll(own.join(todo.where("__one"), same).dropDuplicates(["__id", "__h"]).select(docs.columns))
