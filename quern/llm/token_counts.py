@@ -1,9 +1,9 @@
 """Token counts without ids: pieces are counted once per distinct pre-token and joined to frequencies.
 
-Tasks cut their documents into chunks. For a chunk each distinct pre-token gives one row: the
-pre-token and the packed (document, frequency) postings of the chunk. A second, postings-free pass
-gives the distinct pre-tokens, each of which the tokenizer sees once. The two meet in an ordinary
-join, in which AQE splits hot pre-tokens; sums are formed per chunk before the last shuffle.
+Tasks split their documents once, in chunks. Of a chunk they write the frequencies of its distinct
+pre-tokens in its documents, and the pre-tokens themselves in rows by a hash of them. Rows of one hash
+meet in a task, where the tokenizer sees each distinct pre-token once; the counts go back to the
+chunks, where they are multiplied with the frequencies and summed per document.
 
 Pre-tokens that are vocabulary entries and encode to themselves cost one token. They are added up
 where they are found, which takes the most frequent ones out of the join.
@@ -12,18 +12,20 @@ where they are found, which takes the most frequent ones out of the join.
 from __future__ import annotations
 
 import os
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, tune
+from .common import pieces, tune, written
 
 #: A chunk ends at so many characters or documents.
 CHUNK_CHARS, CHUNK_DOCS = 1 << 24, 1 << 15
+#: Rows that a chunk's pre-tokens are dealt to, and counts of pre-tokens that a task remembers before it forgets all.
+BUCKETS, REMEMBERED = 1024, 1 << 22
 
 
 @lru_cache(maxsize=2)
@@ -74,50 +76,53 @@ class _Numbers(dict):
         return n
 
 
-_POST = np.dtype([("d", "<u2"), ("f", "<u4")])
 _HEAD = np.dtype([("d", "<i8"), ("no_id", "?"), ("bytes", "<i8"), ("direct", "<i8")])
+_CHUNK = "chunk long, bucket int, pieces binary, heads binary, posts binary"
 
 
-def _chunks(batches, path: str, postings: bool):
-    """With postings, rows (chunk, piece, packed); a null piece heads a chunk: its documents in order. Else rows (piece)."""
-    single, added = _known(path)
-    number = _Numbers(single)
-    ids, doc_of, head, chars, base = [], [], [], 0, 0
-    seen: set[str] = set()
-    if postings:
-        from pyspark import TaskContext
+def _packed(texts: list[bytes]) -> bytes:
+    """Byte strings as their number, their lengths and themselves."""
+    return b"".join([len(texts).to_bytes(4, "little"), np.fromiter(map(len, texts), "<u4", len(texts)).tobytes(), *texts])
+
+
+def _unpacked(raw: bytes) -> list[str]:
+    n = int.from_bytes(raw[:4], "little")
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * n + 4).tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([4 * n + 4, *ends], ends)]
+
 
-        base = TaskContext.get().partitionId() << 32
+def _chunks(batches, path: str):
+    """A chunk's rows: one with its documents in order and the postings, and one for each bucket with its pre-tokens.
+
+    Pre-tokens are numbered by bucket; postings are how many each has, then their documents, then their frequencies.
+    """
+    from pyspark import TaskContext
+
+    single, added = _known(path)
+    base = TaskContext.get().partitionId() << 32
+    number, ids, doc_of, head, chars = _Numbers(single), [], [], [], 0
 
     def flush():
-        names = number.names if postings else list(seen)
-        if not postings:
-            for s in range(0, len(names), 1 << 15):
-                yield pa.RecordBatch.from_arrays([pa.array(names[s : s + (1 << 15)], pa.string())], names=["piece"])
-            return
-        flat = np.concatenate(ids) * CHUNK_DOCS + np.repeat(np.array(doc_of, np.int64), [len(x) for x in ids]) if ids else np.zeros(0, np.int64)
+        names = [x.encode("utf-8", "surrogatepass") for x in number.names]
+        bucket = np.fromiter((zlib.crc32(x) % BUCKETS for x in names), np.int64, len(names))
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        flat = rank[np.concatenate(ids)] * CHUNK_DOCS + np.repeat(np.array(doc_of, np.int64), [len(x) for x in ids]) if names else np.zeros(0, np.int64)
         pair, freq = np.unique(flat, return_counts=True)
-        post = np.empty(len(pair), _POST)
-        post["d"], post["f"] = pair % CHUNK_DOCS, freq
-        ends = (np.searchsorted(pair // CHUNK_DOCS, np.arange(len(names) + 1)) * post.itemsize).tolist()
-        raw = post.tobytes()
+        count = np.bincount(pair // CHUNK_DOCS, minlength=len(names)).astype("<u4")
+        posts = count.tobytes() + (pair % CHUNK_DOCS).astype("<u2").tobytes() + freq.astype("<u4").tobytes()
         heads = np.array([(d or 0, d is None, b, t) for d, b, t in head], _HEAD).tobytes()
-        for s in range(-1, len(names), 1 << 14):
-            some = range(max(s, 0), min(s + (1 << 14), len(names)))
-            first = [(None, heads)] * (s < 0)
-            rows = first + [(names[k], raw[ends[k] : ends[k + 1]]) for k in some]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([base] * len(rows), pa.int64()), pa.array([x for x, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.binary())],
-                names=["chunk", "piece", "packed"],
-            )
+        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).tolist()
+        rows = [(base, -1, None, heads, posts)]
+        rows += [(base, k, _packed([names[i] for i in order[a:b].tolist()]), None, None) for k, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["chunk", "bucket", "pieces", "heads", "posts"])
 
     for b in batches:
         for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             direct = 0
             for part in _segments(text, added) if text else ():
-                if not postings:
-                    seen.update(set(part) - single)
-                    continue
                 own = np.fromiter(map(number.__getitem__, part), np.int64, len(part))
                 rest = own[own >= 0]
                 direct += len(own) - len(rest)
@@ -128,52 +133,40 @@ def _chunks(batches, path: str, postings: bool):
             if chars >= CHUNK_CHARS or len(head) >= CHUNK_DOCS:
                 yield from flush()
                 number, ids, doc_of, head, chars, base = _Numbers(single), [], [], [], 0, base + 1
-                seen.clear()
     if head:
         yield from flush()
 
 
 def _counted(batches, path: str):
+    """Rows (chunk, bucket, pieces) -> (chunk, bucket, n): the token counts of the pre-tokens, in order."""
     t = tokenizer(path)
     t.no_padding()
     t.no_truncation()
+    known: dict[str, int] = {}
     for b in batches:
-        names = b.column("piece").to_pylist()
-        n = [len(e.ids) for e in t.encode_batch(names, add_special_tokens=False)]
-        yield pa.RecordBatch.from_arrays([b.column("piece"), pa.array(n, pa.int64())], names=["piece", "n"])
-
-
-def _summed(batches):
-    """Joined rows (chunk, packed, n) -> (chunk, at, tokens, doc_id, n_bytes): sums of some millions of postings at a time."""
-    names = ["chunk", "at", "tokens", "doc_id", "n_bytes"]
-    keys, values, held = [], [], 0
-
-    def flush():
-        k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        v = np.bincount(inverse, np.concatenate(values), len(k)).astype(np.int64)
-        none = pa.nulls(len(k), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(k // CHUNK_DOCS), pa.array((k % CHUNK_DOCS).astype(np.int32)), pa.array(v), none, none], names=names)
-
-    for b in batches:
-        chunk, packed, n = (b.column(x) for x in ("chunk", "packed", "n"))
-        for i in np.flatnonzero(n.is_null().to_numpy(zero_copy_only=False)).tolist():
-            h = np.frombuffer(packed[i].as_py(), _HEAD)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(h), chunk[i].as_py())), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h["direct"]), pa.array(h["d"], mask=h["no_id"]), pa.array(h["bytes"])], names=names
-            )
-        some = pa.compute.is_valid(n)
-        chunk, packed, n = (x.filter(some) for x in (chunk, packed, n))
-        if len(n):
-            flat = np.frombuffer(b"".join(packed.to_pylist()), _POST)
-            times = pa.compute.binary_length(packed).to_numpy() // _POST.itemsize
-            keys.append(np.repeat(chunk.to_numpy(), times) * CHUNK_DOCS + flat["d"])
-            values.append(flat["f"] * np.repeat(n.to_numpy(), times))
-            held += len(flat)
-            if held >= 1 << 22:
-                yield from flush()
-                keys, values, held = [], [], 0
-    if keys:
-        yield from flush()
+        rows = [_unpacked(x) for x in b.column("pieces").to_pylist()]
+        new = list({p for row in rows for p in row} - known.keys())
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list({p for row in rows for p in row})
+        known.update(zip(new, (len(e.ids) for e in t.encode_batch(new, add_special_tokens=False))))
+        n = [np.fromiter(map(known.__getitem__, row), "<u4", len(row)).tobytes() for row in rows]
+        yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("bucket"), pa.array(n, pa.binary())], names=["chunk", "bucket", "n"])
+
+
+def _summed(chunk: pa.Table, counts: pa.Table) -> pa.Table:
+    """A chunk's documents with their sums: frequencies times counts, and the pre-tokens of one token."""
+    head = np.frombuffer(chunk["heads"][0].as_py(), _HEAD)
+    raw = chunk["posts"][0].as_py()
+    rows = sorted(zip(counts["bucket"].to_pylist(), counts["n"].to_pylist()))
+    n = np.frombuffer(b"".join(x for _, x in rows), "<u4").astype(np.int64)
+    times = np.frombuffer(raw, "<u4", len(n))
+    total = int(times.sum(dtype=np.int64))
+    doc = np.frombuffer(raw, "<u2", total, 4 * len(n))
+    freq = np.frombuffer(raw, "<u4", total, 4 * len(n) + 2 * total)
+    sums = np.zeros(len(head), np.int64)
+    np.add.at(sums, doc, freq * np.repeat(n, times))
+    return pa.table({"doc_id": pa.array(head["d"], mask=head["no_id"]), "n_bytes": pa.array(head["bytes"]), "n_tokens": pa.array(sums + head["direct"])})
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
@@ -181,12 +174,12 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
 
     No begin, end or added special tokens are put in; the text of an added token inside a document
     is that token, as the library has it by default. A null text counts as empty: 0 and 0. Repeated
-    rows and null ids keep a row each. Only doc_id and text are read.
+    rows and null ids keep a row each. Only doc_id and text are read. An empty table gives none.
     """
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    post = docs.mapInArrow(lambda b: _chunks(b, path, True), "chunk long, piece string, packed binary")
-    seen = docs.select("doc_id", "text").mapInArrow(lambda b: _chunks(b, path, False), "piece string").distinct()
-    n = seen.mapInArrow(lambda b: _counted(b, path), "piece string, n long")
-    part = post.join(n, "piece", "left").select("chunk", "packed", "n").mapInArrow(_summed, "chunk long, at int, tokens long, doc_id long, n_bytes long")
-    return part.groupBy("chunk", "at").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("tokens").alias("n_tokens")).drop("chunk", "at")
+    chunks = written(docs.mapInArrow(lambda b: _chunks(b, path), _CHUNK), "chunks")
+    rows = chunks.where("bucket >= 0").select("chunk", "bucket", "pieces").repartition("bucket")
+    counts = rows.mapInArrow(lambda b: _counted(b, path), "chunk long, bucket int, n binary")
+    whole = chunks.where("bucket < 0").select("chunk", "heads", "posts")
+    return whole.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long")
