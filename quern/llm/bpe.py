@@ -212,25 +212,43 @@ def encoder(path: str) -> tuple[Encoder, dict[str, bytes]]:
 
 
 def encode_texts(texts: list[str | None], path: str) -> Iterator[Iterator[bytes]]:
-    """For each text, its ids in parts of little-endian unsigned 32-bit integers."""
+    """For each text, its ids in parts of little-endian unsigned 32-bit integers.
+
+    Each text is split once. The new pre-tokens of texts that are short together go through one queue.
+    """
     enc, known = encoder(path)
 
-    def ids_of(part: list[str]) -> bytes:
-        new = [p for p in set(part) if p not in known]
+    def learn(parts: list[list[str]]) -> None:
+        new = set().union(*parts).difference(known)
+        if len(known) + len(new) > CACHE_PIECES or sum(map(len, new)) > CACHE_BYTES:
+            known.clear()
+            new = set().union(*parts)
         if new:
-            if len(known) + len(new) > CACHE_PIECES or sum(map(len, new)) > CACHE_BYTES:
-                known.clear()
-                new = list(set(part))
             known.update(zip(new, enc.many([p.encode("utf-8", "surrogatepass") for p in new])))
-        return b"".join(map(known.__getitem__, part))
 
-    short = [t for t in texts if t and len(t) <= 1 << 20]
-    done: dict[int, bytes] = {}
-    if short:  # the short texts' new pre-tokens go through one queue
-        part = [p for t in short for p in next(pieces(t))]
-        ids_of(part)
+    def long(text: str) -> Iterator[bytes]:
+        for part in pieces(text):
+            learn([part])
+            yield b"".join(map(known.__getitem__, part))
+
+    def together(some: list[str | None]) -> Iterator[Iterator[bytes]]:
+        parts = [next(pieces(t)) if t else [] for t in some]
+        learn(parts)
+        for part in parts:
+            yield iter((b"".join(map(known.__getitem__, part)),))
+
+    held, size = [], 0
     for t in texts:
-        yield (ids_of(p) for p in pieces(t)) if t else iter(())
+        n = len(t or "")
+        if held and size + n > 1 << 21:
+            yield from together(held)
+            held, size = [], 0
+        if n > 1 << 20:
+            yield long(t)
+        else:
+            held.append(t)
+            size += n
+    yield from together(held)
 
 
 def encoded(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
