@@ -19,7 +19,7 @@ import hashlib
 import itertools
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path, tune, written
@@ -60,40 +60,31 @@ def slices(view: memoryview, chunk: int):
             return
 
 
-def digests(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page_id, n, digest): bytes and base32 SHA-1 of each payload."""
-
-    def run(batches):
-        for b in batches:
-            n, d = [], []
-            for v in _views(b.column(html)):
-                h = hashlib.sha1()
-                for s in range(0, len(v), CHUNK):
-                    h.update(v[s : s + CHUNK])
-                n.append(len(v))
-                d.append(_base32(h))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(n, pa.int64()), pa.array(d, pa.string())], names=["page_id", "n", "digest"])
-
-    return pages.select("page_id", html).mapInArrow(run, "page_id long, n long, digest string")
+def _payload(html: str) -> list[Column]:
+    """n and digest: bytes and SHA-1 of a payload, empty for null."""
+    raw = F.coalesce(F.col(html), F.lit("")).cast("binary")
+    return [F.octet_length(raw).cast("long").alias("n"), F.sha1(raw).alias("digest")]
 
 
-def revisits(found: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of rows whose payload, of `least` bytes at least, a row with a larger page_id has too."""
-    some = found.where((F.col("n") >= least) & F.col("page_id").isNotNull())
+def revisits(pages: DataFrame, html: str = "html", least: int = 0) -> DataFrame:
+    """(page_id, n, digest, refers_to) of payloads, of `least` bytes at least, that a row with a larger page_id has too."""
+    some = pages.where("page_id is not null").select("page_id", *_payload(html)).where(F.col("n") >= least)
     first = some.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("low")).where("low < refers_to").drop("low")
-    return some.join(first, ["digest", "n"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return some.join(first, ["digest", "n"]).where("page_id < refers_to").select("page_id", "n", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, html: str = "html", least: int = 0, chunk: int = CHUNK, date: str = "2000-01-01T00:00:00Z") -> None:
     """Writes a record per row of pages (page_id, url, html) to archive files under `path`.
 
     A null html is an empty payload. A row without page_id is a response. Rows that repeat a page_id
-    keep a record each; of equal payloads under the largest page_id each is a response.
+    keep a record each, whatever their payloads; of equal payloads under the largest page_id each is a response.
+    An empty table gives no record.
     """
     spark = tune(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col(html).cast("string").alias(html))
-    again = written(revisits(digests(pages, html), least), "revisits")
-    rows = pages.join(F.broadcast(again) if again.count() <= SEND_ROWS else again, "page_id", "left").select("page_id", "url", html, "refers_to")
+    again = written(revisits(pages, html, least), "revisits")
+    own = pages.select("page_id", "url", html, *_payload(html))  # a page_id may repeat with other payloads
+    rows = own.join(F.broadcast(again) if again.count() <= SEND_ROWS else again, ["page_id", "n", "digest"], "left").select("page_id", "url", html, "refers_to")
 
     def run(batches):
         from pyspark import TaskContext
