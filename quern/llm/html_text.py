@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 from html import unescape
 
@@ -68,8 +68,9 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
 def parse(html: str) -> Node:
     """The tree of block elements and text leaves (tag '#'); markup that is cut off at the end is dropped."""
     root = Node("#root", None)
-    at, open_inline, links, run, linked = root, [], 0, [], 0
+    at, links, run, linked = root, 0, [], 0
     pos, n = 0, len(html)
+    path, depths = [root], defaultdict(list)  # open elements, and where those of a tag stand in path: no walks to the root
 
     def leave_text():
         nonlocal run, linked
@@ -89,15 +90,19 @@ def parse(html: str) -> Node:
         if links:
             linked += len(text)
 
-    def close(tags, until) -> None:
+    def last(tags) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
+
+    def leave(depth: int) -> None:
         nonlocal at
-        x = at
-        while x.parent is not None and x.tag not in until:
-            if x.tag in tags:
-                leave_text()
-                at = x.parent
-                return
-            x = x.parent
+        leave_text()
+        while len(path) > depth:
+            depths[path.pop().tag].pop()
+        at = path[-1]
+
+    def close(tags, until) -> None:
+        if (depth := last(tags)) > last(until):
+            leave(depth)
 
     search = _TOKEN.search
     while pos < n:
@@ -119,15 +124,11 @@ def parse(html: str) -> Node:
                 links = max(0, links - 1)
             if tag in INLINE:
                 continue
-            if tag == "br" or tag == "p" and not _inside(at, "p"):
+            if tag == "br" or tag == "p" and not depths["p"]:
                 run.append(" ")
                 continue
-            x = at
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None and x.parent is not None:
-                leave_text()
-                at = x.parent
+            if depths[tag]:
+                leave(depths[tag][-1])
                 links = 0
             continue
         if tag in RAW:
@@ -156,19 +157,13 @@ def parse(html: str) -> Node:
         node = Node(tag, at, words, hidden or tag in HIDDEN)
         at.children.append(node)
         if not m[3].rstrip().endswith("/") or tag not in HIDDEN:
+            depths[tag].append(len(path))
+            path.append(node)
             at = node
     leave_text()
     return root
 
 
-def _inside(at: Node, tag: str) -> bool:
-    while at is not None:
-        if at.tag == tag:
-            return True
-        at = at.parent
-    return False
-
-
 def order(root: Node) -> list[Node]:
     """Nodes before their children, in page order, without hidden ones; sums of the text below are set."""
     out, stack = [], [root]
@@ -198,7 +193,7 @@ def features(x: Node) -> list[str]:
     out = [f"tag {x.tag}", f"link {min(3, 4 * x.linked // x.chars) if x.chars else 'none'}", f"size {min(12, x.chars.bit_length()) // 2}", f"stops {min(6, x.stops.bit_length())}"]
     if x.controls:
         out.append("controls")
-    return out + [f"word {w}" for w in x.words[:12]]
+    return out + [f"word {w}" for w in x.words]
 
 
 class Model:
@@ -380,6 +375,10 @@ def labelled_pages(n: int = 600, seed: int = 3) -> tuple:
         blocks = [f"<h1>{words(rng.randrange(1, 12), 'c')}</h1>"] * (rng.random() < 0.8) + [block() for _ in range(rng.randrange(1, 14))]
         if rng.random() < 0.3:
             blocks.insert(rng.randrange(1, len(blocks) + 1), boiler(rng.choice(["ad", "share", "aside", "form", "comments", "notice"])))
+        if rng.random() < 0.15:  # a page of few words
+            blocks = [f"<p>{words(rng.randrange(1, 5), 'c')}</p>" for _ in range(rng.randrange(1, 3))]
+        if rng.random() < 0.15:  # a sidebar without a name, inside the article
+            blocks.insert(rng.randrange(1, len(blocks) + 1), f"<aside><p>{text('b', 1, 4)}</p></aside>")
         if rng.random() < 0.15:
             blocks[0] = f"<header>{blocks[0]}</header>"
         body = "".join(blocks)
