@@ -6,7 +6,8 @@ vectors scores two terms that stand in one document, which additive weights cann
 
 Slots that enter are those whose link with the label is stronger than the best of as many chance
 slots would be (a likelihood ratio against the number of slots), so that a few thousand rare words
-of a long document do not drown a single insult. Fitting is on the driver over a bounded sample;
+of a long document do not drown a single insult; and of the PAIRED most frequent slots, those that have such a
+link only together with another, beyond what the two have alone. Fitting is on the driver over a bounded sample;
 scoring is a map over all documents.
 """
 
@@ -28,6 +29,8 @@ SLOTS = 1 << 22
 FACTORS = 8
 #: Log-likelihood by which a slot may stay below the best of all chance slots: beginnings of one word are far from independent.
 SLACK = 2.5
+#: Slots, the most frequent of the sample, whose pairs are tried.
+PAIRED = 1024
 _WORD = re.compile(r"\w+")
 
 
@@ -88,23 +91,47 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def choose(counts: DataFrame, n: int, positive: int) -> list[int]:
-    """Slots of at least two documents whose likelihood ratio exceeds what as many chance slots would give.
+def choose(counts: DataFrame, n: int, positive: int) -> tuple[list[int], list[int]]:
+    """(slots of at least two documents whose likelihood ratio exceeds what as many chance slots would give, the PAIRED most frequent slots).
 
-    Their number is bounded: each takes at least ln 2 of the sample's likelihood of n documents, times the terms of one.
+    The number of the former is bounded: each takes at least ln 2 of the sample's likelihood of n documents, times the terms of one.
     """
     p = min(max(positive / max(n, 1), 1e-6), 1 - 1e-6)
     some = counts.groupBy("slot").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n >= 2")
     part = lambda a, share: F.when(F.col(a) > 0, F.col(a) * F.log(F.col(a) / (F.col("n") * share))).otherwise(0.0)
     some = written(some.withColumn("rest", F.col("n") - F.col("k")).withColumn("gain", part("k", p) + part("rest", 1 - p)), "slots")
     most = some.count()
-    return sorted(r["slot"] for r in some.where(F.col("gain") > float(np.log(max(2, most))) - SLACK).select("slot").collect())
+    own = some.where(F.col("gain") > float(np.log(max(2, most))) - SLACK).select("slot")
+    frequent = some.orderBy(F.desc("n"), "slot").limit(PAIRED).select("slot")
+    return sorted(r["slot"] for r in own.collect()), sorted(r["slot"] for r in frequent.collect())
+
+
+def paired(frequent: list[int], sets: list[np.ndarray], y: np.ndarray) -> list[int]:
+    """Those of the frequent slots that shift the label in a pair, against what either slot and both, taken as independent, lead to expect."""
+    at = {s: k for k, s in enumerate(frequent)}
+    m = len(frequent)
+    n, k = np.zeros((m, m)), np.zeros((m, m))
+    for s in range(0, len(sets), 1024):
+        x = np.zeros((len(sets[s : s + 1024]), m), np.float32)
+        for r, own in enumerate(sets[s : s + 1024]):
+            x[r, [at[v] for v in own.tolist() if v in at]] = 1
+        n += x.T @ x
+        k += x.T @ (x * y[s : s + 1024, None].astype(np.float32))
+    share = lambda a, b: np.clip(a / np.maximum(b, 1), 1e-3, 1 - 1e-3)
+    logit = lambda p: np.log(p / (1 - p))
+    alone = share(np.diag(k), np.diag(n))
+    both = logit(alone)[:, None] + logit(alone)[None, :] - logit(share(y.sum(), len(y)))
+    found = share(k, n)
+    gain = lambda p: k * np.log(found / p) + (n - k) * np.log((1 - found) / (1 - p))
+    least = np.minimum(np.minimum(gain(alone[:, None]), gain(alone[None, :])), gain(1 / (1 + np.exp(-both))))
+    np.fill_diagonal(least, 0)
+    return [frequent[i] for i in np.flatnonzero((least > np.log(max(2, m * m / 2))).any(1))]
 
 
 def fit(used: list[int], sets: list[np.ndarray], y: np.ndarray, epochs: int = 40, seed: int = 7) -> Machine:
-    """Logistic loss by AdaGrad over shuffled documents. Without both labels: a constant score, their mean."""
+    """Logistic loss by AdaGrad over shuffled documents. Without both labels: a constant score near their mean; without any label, 0.25."""
     rng = np.random.default_rng(seed)
-    p = (y.sum() + 0.5) / (len(y) + 1)
+    p = (y.sum() + 0.5) / (len(y) + 2)
     w, v, b = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS)), float(np.log(p / (1 - p)))
     if not len(used):
         return Machine(used, b, w, v)
@@ -140,10 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     tune(docs.sparkSession)
     sample = written(training_rows(docs, labels, label, most).select("text", "y"), "sample")
     n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    used = choose(sample.mapInArrow(_counts, "slot long, n long, k long"), n, positive)
-    rows = sample.mapInArrow(_sets(frozenset(used)), "y int, slots binary").collect()
+    used, frequent = choose(sample.mapInArrow(_counts, "slot long, n long, k long"), n, positive)
+    rows = sample.mapInArrow(_sets(frozenset(used) | frozenset(frequent)), "y int, slots binary").collect()
     rows.sort(key=lambda r: (bytes(r["slots"]), r["y"]))
-    return fit(used, [np.frombuffer(r["slots"], np.int32) for r in rows], np.array([r["y"] for r in rows], float))
+    sets, y = [np.frombuffer(r["slots"], np.int32) for r in rows], np.array([r["y"] for r in rows], float)
+    used = sorted({*used, *paired(frequent, sets, y)}) if 0 < y.sum() < len(y) else used
+    return fit(used, sets, y)
 
 
 def scored(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataFrame:
@@ -162,5 +191,5 @@ def scored(docs: DataFrame, machine: Machine, column: str = "toxicity") -> DataF
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, with the columns of docs."""
-    return scored(docs, machine).where(F.col("toxicity") < threshold).select(docs.columns)
+    """The documents that score below the threshold, with the columns of docs, whatever their names."""
+    return scored(docs, machine, "__toxicity").where(F.col("__toxicity") < threshold).select(docs.columns)
