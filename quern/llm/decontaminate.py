@@ -243,5 +243,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents with no word inside an occurrence of a benchmark window, with the columns of docs."""
-    return contamination(docs, benchmark, window).where(F.size("hit_items") + F.size("hit_spans") == 0).select(docs.columns)
+    """The documents with no word inside an occurrence of a benchmark window, with the columns of docs, whatever their names."""
+    aside = {c: f"__{c}" for c in docs.columns if c in ("n_words", "hit_spans", "hit_items", "longest_match")}
+    own = docs.withColumnsRenamed(aside)
+    clean = contamination(own, benchmark, window).where(F.size("hit_items") + F.size("hit_spans") == 0).select(own.columns)
+    return clean.withColumnsRenamed({v: k for k, v in aside.items()})
