@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch. Long texts make rows heavy, so batches are short.
 ARROW_ROWS = 512
-#: Salt count for keys that may hold a large share of all rows.
-SALTS = 64
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -32,9 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fresh local one where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a fresh local one where it is unset and the master is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
         found = f"file://{tempfile.mkdtemp(prefix='quern-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -54,9 +54,29 @@ def _remove_late(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Paths of the tables that the present stage of a pipeline has written, where one is running, and those of earlier stages.
+_own: list[list[str]] = []
+_earlier: list[str] = []
+
+
+def stage(spark: SparkSession, docs: DataFrame, step) -> DataFrame:
+    """step(), a stage of a pipeline over docs. Tables that earlier stages wrote for themselves are removed, but for those that docs still reads."""
+    read = docs.inputFiles() if _earlier else []
+    for path in [p for p in _earlier if not any(p.split("/")[-1] in f for f in read)]:
+        _earlier.remove(path)
+        _remove(spark, path)
+    _own.append([])
+    try:
+        return step()
+    finally:
+        _earlier.extend(_own.pop())
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder; it is removed when the driver ends."""
+    """A fresh path in the shared folder; it is removed when the driver ends, or when a pipeline's next stage begins."""
     path = f"{shared_dir(spark)}/quern-{what}-{uuid.uuid4().hex}"
+    if _own:
+        _own[-1].append(path)
     atexit.register(_remove_late, spark, path)
     return path
 
