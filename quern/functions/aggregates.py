@@ -8,14 +8,36 @@ from pyspark.sql import functions as F
 from .dialect import UNSIGNED, unsigned
 
 
-def sum_exact(c: Column) -> Column:
-    """SUM of integers: an exact decimal that doesn't overflow as a BIGINT would."""
-    return F.sum(c.cast("decimal(20,0)"))
+def sum_exact(c: Column, scale: int = 0) -> Column:
+    """SUM of exact numbers of that scale: a decimal that doesn't overflow as a BIGINT would."""
+    return F.sum(c.cast(f"decimal({20 + scale},{scale})"))
 
 
-def avg_exact(c: Column) -> Column:
-    """AVG of integers: a decimal of scale 4."""
-    return F.avg(c.cast("decimal(20,0)")).cast("decimal(24,4)")
+def avg_exact(c: Column, scale: int = 0) -> Column:
+    """AVG of exact numbers of that scale: a decimal with four digits more."""
+    return F.avg(c.cast(f"decimal({20 + scale},{scale})")).cast(f"decimal(30,{scale + 4})")
+
+
+def std_samp(c: Column) -> Column:
+    """NULL for fewer than two values."""
+    return F.when(F.count(c) > 1, F.stddev_samp(c))
+
+
+def var_samp(c: Column) -> Column:
+    return F.when(F.count(c) > 1, F.var_samp(c))
+
+
+def any_value(c: Column) -> Column:
+    """Some value of the group, the least, so that it is the same in every run."""
+    return F.min(c)
+
+
+def json_objectagg(k: Column, v: Column) -> Column:
+    """JSON_OBJECTAGG: of several values of a key the largest stays; keys go by length, then by bytes; no rows give NULL."""
+    pairs = F.array_sort(F.collect_set(F.struct(F.octet_length(k.cast("string")).alias("n"), k.cast("string").alias("k"), v.alias("v"))))
+    last = F.filter(pairs, lambda x, i: F.coalesce(F.get(pairs, i + 1)["k"] != x["k"], F.lit(True)))
+    one = F.transform(last, lambda x: F.concat(F.to_json(F.array(x["k"])).substr(F.lit(2), F.octet_length(F.to_json(F.array(x["k"]))) - 2), F.lit(": "), F.coalesce(F.regexp_extract(F.to_json(F.array(x["v"])), r"(?s)^\[(.*)\]$", 1), F.lit("null"))))
+    return F.when(F.size(pairs) > 0, F.concat(F.lit("{"), F.array_join(one, ", "), F.lit("}")))
 
 
 def std(c: Column) -> Column:
@@ -44,7 +66,8 @@ def group_concat(c: Column, order: Column | None = None, separator: str = ",", d
     one = F.struct((c if order is None else order).alias("o"), c.cast("string").alias("v"))
     some = F.collect_set(F.when(c.isNotNull(), one)) if distinct else F.collect_list(F.when(c.isNotNull(), one))
     text = F.array_join(F.transform(F.array_sort(some), lambda x: x["v"]), separator)
-    return F.when(F.size(some) > 0, F.left(text, F.lit(most)))
+    cut = F.regexp_replace(F.call_function("make_valid_utf8", F.substring(text.cast("binary"), 1, most).cast("string")), "\ufffd+$", "")
+    return F.when(F.size(some) > 0, F.when(F.octet_length(text) <= most, text).otherwise(cut))
 
 
 def json_arrayagg(c: Column, order: Column) -> Column:

@@ -19,14 +19,15 @@ def truth(c: Column) -> Column:
 
 
 def number(s: Column) -> Column:
-    """The leading integer of a string, 0 without one."""
-    found = F.regexp_extract(s, r"^\s*([+-]?\d+)", 1)
-    return F.when(s.isNull(), None).when(found == "", 0).otherwise(F.coalesce(found.try_cast("bigint"), F.lit(0)))
+    """The number that a string begins with, as a double; 0 without one."""
+    found = F.regexp_extract(s, r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1)
+    return F.when(s.isNull(), None).when(found == "", 0.0).otherwise(found.try_cast("double"))
 
 
 def divide(a: Column, b: Column, scale: int = 4) -> Column:
-    """`/`: exact decimal with four more digits; NULL for a zero divisor."""
-    return F.when(b != 0, F.round(a.cast("decimal(20,0)") / F.nullif(b, F.lit(0)).cast("decimal(20,0)"), scale)).cast(f"decimal(24,{scale})")
+    """`/`: an exact decimal; NULL for a zero divisor. scale is four more digits than a has, 6 at most."""
+    exact = lambda c: c.cast("decimal(30,10)")
+    return F.when(b != 0, F.round(exact(a) / F.nullif(exact(b), exact(F.lit(0))), scale)).cast(f"decimal(30,{scale})")
 
 
 def int_div(a: Column, b: Column) -> Column:
@@ -41,25 +42,32 @@ def xor(a: Column, b: Column) -> Column:
     return truth((a != 0) != (b != 0))
 
 
+def bits(c: Column) -> Column:
+    """A number as a 64-bit pattern; unsigned ones from 2 ** 63 become negative."""
+    c = c.cast(UNSIGNED)
+    high = c >= F.lit(str(_BASE // 2)).cast(UNSIGNED)
+    return F.when(high, c - F.lit(str(_BASE)).cast(UNSIGNED)).otherwise(c).cast("bigint")
+
+
 def unsigned(c: Column) -> Column:
     """A 64-bit pattern read as unsigned."""
-    c = c.cast("bigint")
+    c = bits(c)
     return F.when(c < 0, c.cast(UNSIGNED) + F.lit(str(_BASE)).cast(UNSIGNED)).otherwise(c.cast(UNSIGNED)).cast(UNSIGNED)
 
 
 def bit_not(c: Column) -> Column:
-    return unsigned(F.bitwise_not(c.cast("bigint")))
+    return unsigned(F.bitwise_not(bits(c)))
 
 
 def shift_left(c: Column, n: Column) -> Column:
     """`<<`: bits past the 64th are lost, shifts of 64 and more give 0."""
     n = n.cast("int")
-    return F.when((n < 0) | (n >= 64), F.lit(0).cast(UNSIGNED)).otherwise(unsigned(F.call_function("shiftleft", c.cast("bigint"), n)))
+    return F.when((n < 0) | (n >= 64), F.lit(0).cast(UNSIGNED)).otherwise(unsigned(F.call_function("shiftleft", bits(c), n)))
 
 
 def shift_right(c: Column, n: Column) -> Column:
     n = n.cast("int")
-    return F.when((n < 0) | (n >= 64), F.lit(0).cast(UNSIGNED)).otherwise(unsigned(F.call_function("shiftrightunsigned", c.cast("bigint"), n)))
+    return F.when((n < 0) | (n >= 64), F.lit(0).cast(UNSIGNED)).otherwise(unsigned(F.call_function("shiftrightunsigned", bits(c), n)))
 
 
 def _strict(f, args) -> Column:
@@ -83,8 +91,19 @@ def ci(s: Column) -> Column:
     return F.collate(s, "UNICODE_CI_AI")
 
 
-def like(s: Column, pattern: str) -> Column:
-    return F.collate(s, "UTF8_LCASE").like(pattern)
+def like(s: Column, pattern: str, escape: str = "\\") -> Column:
+    """LIKE without regard to case and accents: both sides lose their combining marks first."""
+    return F.like(F.collate(plain(s), "UTF8_LCASE"), plain(F.lit(pattern)), F.lit(escape))
+
+
+#: Letters with a mark, and the same letters without (fixed values).
+_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def plain(s: Column) -> Column:
+    """A string with the marks of Latin letters taken off."""
+    return F.translate(s, _MARKED + _MARKED.upper().replace("Ÿ", "Ÿ"), _PLAIN + _PLAIN.upper())
 
 
 def regexp(s: Column, pattern: str) -> Column:
@@ -120,8 +139,22 @@ def strcmp(a: Column, b: Column) -> Column:
 
 
 def field(s: Column, *values: Column) -> Column:
-    """1-based place of s among values, 0 if it is NULL or missing."""
-    return F.coalesce(F.array_position(F.array(*values), s), F.lit(0))
+    """1-based place of s among values, by collation; 0 if it is NULL or missing."""
+    out = F.when(s.isNull(), 0)
+    for i, v in enumerate(values):
+        out = out.when(ci(s) == ci(v), i + 1)
+    return out.otherwise(0)
+
+
+def find_in_set(s: Column, some: Column) -> Column:
+    return F.find_in_set(ci(s), ci(some))
+
+
+def locate(sub: Column, s: Column, pos: int = 1) -> Column:
+    """LOCATE, POSITION and INSTR: 1-based, by collation; 0 if it isn't there from pos on."""
+    lower = lambda c: F.lower(plain(c))
+    found = F.call_function("locate", lower(sub), lower(s), F.lit(pos))
+    return F.when(sub.isNotNull() & s.isNotNull(), found)
 
 
 def elt(n: Column, *values: Column) -> Column:
@@ -140,8 +173,11 @@ def make_set(bits: Column, *values: Column) -> Column:
     return F.when(bits.isNotNull(), F.array_join(F.array_compact(F.array(*some)), ","))
 
 
-def export_set(bits: Column, on: str, off: str, sep: str = ",", n: int = 64) -> Column:
-    return F.array_join(F.array(*(F.when(F.shiftright(bits.cast("bigint"), i).bitwiseAND(1) == 1, on).otherwise(off) for i in range(min(n, 64)))), sep)
+def export_set(value: Column, on: str, off: str, sep: str = ",", n: int = 64) -> Column:
+    """EXPORT_SET: the lowest n bits, lowest first; an n outside 0 to 64 means 64."""
+    n = n if 0 <= n <= 64 else 64
+    each = [F.when(F.shiftright(bits(value), i).bitwiseAND(1) == 1, on).otherwise(off) for i in range(n)]
+    return F.when(value.isNotNull(), F.array_join(F.array(*each), sep) if n else F.lit(""))
 
 
 def ord_(s: Column) -> Column:
@@ -174,7 +210,8 @@ def to_days(d: Column) -> Column:
 
 
 def from_days(n: Column) -> Column:
-    return F.date_add(F.lit("1970-01-01").cast("date"), (n - 719528).cast("int"))
+    """NULL before the year 1, which a date can't hold."""
+    return F.when(n >= 366, F.date_add(F.lit("1970-01-01").cast("date"), (n - 719528).cast("int")))
 
 
 def day_name(d: Column) -> Column:

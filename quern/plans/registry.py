@@ -17,7 +17,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 def _sql(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        views(spark, sf_dir)
+        views(spark, sf_dir, spark_sql)
         return spark.sql(spark_sql)
 
     QUERIES[name] = run
@@ -127,7 +127,7 @@ _of("insert_reverse_quote", "SELECT c_custkey, left(c_name, 1) || 'XY' || substr
 _of("round_truncate", "SELECT c_custkey, CAST(ceil(c_acctbal) AS BIGINT) AS c, CAST(floor(c_acctbal) AS BIGINT) AS f, CAST(sign(c_acctbal) AS INT) AS s, abs(c_acctbal) AS a FROM customer", "customer", c=lambda: F.ceil("c_acctbal"), f=lambda: F.floor("c_acctbal"), s=lambda: F.signum("c_acctbal").cast("int"), a=lambda: F.abs("c_acctbal"))
 _of("trig_log", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS q, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) END AS l, round(sin(c_acctbal), 6) AS s FROM customer", "customer", q=lambda: F.round(D.guarded(F.sqrt, C("c_acctbal"), C("c_acctbal") >= 0), 6), l=lambda: F.round(D.guarded(F.log, C("c_acctbal"), C("c_acctbal") > 0), 6), s=lambda: F.round(F.sin("c_acctbal"), 6))
 _of("crc_digest", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, sha1(c_name) AS h FROM customer", "customer", m=lambda: F.md5(_name()), s=lambda: F.sha2(_name(), 256), h=lambda: F.sha1(_name()))
-_of("coerce_prefix", "SELECT c_custkey, CAST(coalesce(nullif(regexp_extract(CAST(c_custkey AS VARCHAR) || 'abc', '^\\s*[+-]?\\d+'), ''), '0') AS BIGINT) AS n, CAST(0 AS BIGINT) AS z FROM customer".replace("\\\\", "\\"), "customer", n=lambda: D.number(F.concat(_key().cast("string"), F.lit("abc"))), z=lambda: D.number(_name()))
+_of("coerce_prefix", "SELECT c_custkey, CAST(coalesce(nullif(regexp_extract(CAST(c_custkey AS VARCHAR) || 'abc', '^\\s*[+-]?\\d+'), ''), '0') AS BIGINT) AS n, CAST(0 AS BIGINT) AS z FROM customer".replace("\\\\", "\\"), "customer", n=lambda: D.number(F.concat(_key().cast("string"), F.lit("abc"))).cast("bigint"), z=lambda: D.number(_name()).cast("bigint"))
 _of("strcmp_collate", "SELECT c_custkey, CAST(CASE WHEN lower(c_mktsegment) = 'building' THEN 0 WHEN lower(c_mktsegment) < 'building' THEN -1 ELSE 1 END AS INT) AS s FROM customer", "customer", s=lambda: D.strcmp(C("c_mktsegment"), F.lit("building")))
 _of("date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(dayofyear(o_orderdate) AS INT) AS d, CAST(dayofweek(o_orderdate) + 1 AS INT) AS w, CAST(isodow(o_orderdate) - 1 AS INT) AS k, last_day(CAST(o_orderdate AS DATE)) AS l, dayname(o_orderdate) AS dn, monthname(o_orderdate) AS mn FROM orders", "orders",
     y=lambda: F.year(_date()), q=lambda: F.quarter(_date()), d=lambda: F.dayofyear(_date()), w=lambda: F.dayofweek(_date()), k=lambda: F.weekday(_date()), l=lambda: F.last_day(_date()), dn=lambda: D.day_name(_date()), mn=lambda: D.month_name(_date()))
@@ -189,3 +189,10 @@ def replace_into(spark, sf_dir):
 def update_delete(spark, sf_dir):
     s = dml.update(table(spark, sf_dir, "supplier"), C("s_acctbal") < 0, {"s_acctbal": F.lit(0.0)})
     return dml.delete(s, C("s_nationkey") == 3).select("s_suppkey", C("s_acctbal").alias("b"))
+
+
+from . import functions, relational  # noqa: E402
+
+for _part in (functions, relational):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)
