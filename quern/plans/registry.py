@@ -191,8 +191,8 @@ def update_delete(spark, sf_dir):
     return dml.delete(s, C("s_nationkey") == 3).select("s_suppkey", C("s_acctbal").alias("b"))
 
 
-from . import functions, relational  # noqa: E402
+from . import functions, relational, spatial, statements  # noqa: E402
 
-for _part in (functions, relational):
+for _part in (functions, relational, spatial, statements):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)
