@@ -27,10 +27,14 @@ from .labelled import training_rows
 
 SLOTS = 1 << 22
 FACTORS = 8
+#: Documents of a step of the fit.
+BATCH = 32
 #: Log-likelihood by which a slot may stay below the best of all chance slots: beginnings of one word are far from independent.
 SLACK = 2.5
 #: Slots, the most frequent of the sample, whose pairs are tried.
 PAIRED = 1024
+#: Information on the label, in nats a document, that a pair must add: frequent pairs that shift it a little would be too many to fit.
+SHIFT = 0.1
 _WORD = re.compile(r"\w+")
 
 
@@ -125,11 +129,12 @@ def paired(frequent: list[int], sets: list[np.ndarray], y: np.ndarray) -> list[i
     gain = lambda p: k * np.log(found / p) + (n - k) * np.log((1 - found) / (1 - p))
     least = np.minimum(np.minimum(gain(alone[:, None]), gain(alone[None, :])), gain(1 / (1 + np.exp(-both))))
     np.fill_diagonal(least, 0)
-    return [frequent[i] for i in np.flatnonzero((least > np.log(max(2, m * m / 2))).any(1))]
+    strong = (least > np.log(max(2, m * m / 2))) & (least > SHIFT * n)
+    return [frequent[i] for i in np.flatnonzero(strong.any(1))]
 
 
 def fit(used: list[int], sets: list[np.ndarray], y: np.ndarray, epochs: int = 40, seed: int = 7) -> Machine:
-    """Logistic loss by AdaGrad over shuffled documents. Without both labels: a constant score near their mean; without any label, 0.25."""
+    """Logistic loss by AdaGrad over shuffled documents, some at a time. Without both labels: a constant score near their mean; without any label, 0.25."""
     rng = np.random.default_rng(seed)
     p = (y.sum() + 0.5) / (len(y) + 2)
     w, v, b = np.zeros(len(used)), rng.normal(0, 0.05, (len(used), FACTORS)), float(np.log(p / (1 - p)))
@@ -140,21 +145,27 @@ def fit(used: list[int], sets: list[np.ndarray], y: np.ndarray, epochs: int = 40
     gw, gv, gb = np.full(len(w), 1e-2), np.full(v.shape, 1e-2), 1e-2
     empty = np.array([not len(r) for r in rows])
     some, n0, y0 = np.flatnonzero(~empty), empty.sum(), y[empty].sum()
+    size = np.array([len(r) for r in rows])
+    start, flat = np.cumsum(size) - size, np.concatenate(rows)
     for _ in range(epochs):
-        for i in rng.permutation(some).tolist():
-            r = rows[i]
-            x = v[r]
-            total = x.sum(0)
-            z = b + w[r].sum() + 0.5 * (total @ total - (x * x).sum())
-            d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]
-            g = d + 1e-4 * w[r]
-            gw[r] += g * g
-            w[r] -= 0.3 * g / np.sqrt(gw[r])
-            h = d * (total - x) + 1e-3 * x
-            gv[r] += h * h
-            v[r] -= 0.05 * h / np.sqrt(gv[r])
-            gb += d * d
-            b -= 0.3 * d / np.sqrt(gb)
+        by = rng.permutation(some)
+        for s in range(0, len(by), BATCH):
+            own = by[s : s + BATCH]
+            x = np.zeros((len(own), len(w)))
+            at_row = np.repeat(np.arange(len(own)), size[own])
+            x[at_row, flat[np.arange(len(at_row)) + np.repeat(start[own] - (np.cumsum(size[own]) - size[own]), size[own])]] = 1
+            total = x @ v
+            z = b + x @ w + 0.5 * ((total * total).sum(1) - x @ (v * v).sum(1))
+            d = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[own]
+            n, sums = x.sum(0), x.T @ d
+            g = sums + 1e-4 * n * w
+            gw += g * g
+            w -= 0.3 * g / np.sqrt(gw)
+            h = x.T @ (d[:, None] * total) - sums[:, None] * v + 1e-3 * n[:, None] * v
+            gv += h * h
+            v -= 0.05 * h / np.sqrt(gv)
+            gb += d.sum() ** 2
+            b -= 0.3 * d.sum() / np.sqrt(gb)
         if n0:  # documents without any slot in use differ only in their label
             d = n0 / (1 + np.exp(-b)) - y0
             gb += d * d
