@@ -95,12 +95,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(F.filter(some, lambda p: p["a"] == p["b"])) / F.size(some)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], add=lambda df: df) -> DataFrame:
     """docs with next_<column> for each of columns: the values of the next row by (doc_id, text), of the first after the last.
 
     Rows are dealt into runs of neighbours by quantiles of doc_id, in which a window looks ahead; the
     first row of each run is copied to the end of the run before. Null ids come first; equal rows
-    follow each other.
+    follow each other. add() puts columns in, once the copies are there: columns may name these too.
     """
     n = docs.count()
     runs = min(RUNS, max(1, math.ceil(n / RUN)))
@@ -115,7 +115,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     dealt = docs.withColumn("__run", at).withColumn("__copy", F.lit(False))
     firsts = sorted(dealt.groupBy("__run").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("m")).select("__run", "m.doc_id").collect(), key=lambda r: r[0])
     if not firsts:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return add(docs).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     spark = docs.sparkSession
     back = spark.createDataFrame([(r[0], r[1], firsts[k - 1][0]) for k, r in enumerate(firsts)], "__run int, __id long, __to int")
     head = dealt.join(F.broadcast(back), (dealt["__run"] == back["__run"]) & dealt["doc_id"].eqNullSafe(back["__id"])).drop(back["__run"])
@@ -123,7 +123,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     head = head.groupBy("__to").agg(F.min(F.struct("text", *(c for c in whole if c != "text"))).alias("r"))
     head = head.select(*(F.col("r")[c].alias(c) for c in whole), F.col("__to").alias("__run"), F.lit(True).alias("__copy"))
     w = Window.partitionBy("__run").orderBy("__copy", "doc_id", "text")
-    ahead = dealt.unionByName(head).select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
+    ahead = add(dealt.unionByName(head)).select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns))
     return ahead.where(~F.col("__copy")).drop("__run", "__copy")
 
 
@@ -135,15 +135,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def edits(docs: DataFrame) -> DataFrame:
-    """For each document: its fingerprint, that of its text with the latter half exchanged for the next document's beginning, and likenesses."""
+    """For each document: its fingerprint, that of its text with the latter half exchanged for the next document's beginning, and likenesses.
+
+    A null text counts as empty; rows that repeat a doc_id keep a row each, null ids come first; an empty table gives none.
+    """
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     bitmap, _, _ = lexicon(docs)
     lit = _literal(bitmap)
-    own = docs.withColumn("fp", fingerprint(F.col("text"), lit))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    ahead = with_next(own, ["text", "fp"]).withColumn("n_chars", n.cast("long"))
+    printed = lambda df: df.withColumn("fp", fingerprint(F.col("text"), lit))
+    ahead = with_next(docs, ["text", "fp"], printed).withColumn("n_chars", n.cast("long"))
     ahead = ahead.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     ahead = ahead.withColumn("edited_fp", fingerprint(F.col("edited"), lit))
     return ahead.select(
