@@ -26,4 +26,15 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
 FROM d WINDOW w AS (PARTITION BY hex, n)
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op6_warc": OP6}
+OP9 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS t FROM d),
+x AS (SELECT doc_id, unnest(t) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT u, v FROM p JOIN s a ON a.doc_id = u JOIN s b ON b.doc_id = v WHERE 100 * c >= 90 * (len(a.t) + len(b.t) - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+reach(n, m) AS (SELECT doc_id, doc_id FROM s UNION SELECT n, v FROM reach JOIN e ON m = u)
+SELECT s.doc_id, CAST(len(t) AS BIGINT) AS n_shingles, r.component_id FROM s JOIN (SELECT n, min(m) AS component_id FROM reach GROUP BY n) r ON r.n = s.doc_id
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op6_warc": OP6, "op9_jaccard_join": OP9}

@@ -149,3 +149,20 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == [1, 2, 4, 5, 6]
     assert all(r.n_tokens > 0 for r in out if r.doc_id in (1, 2, 6))
+
+
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op6_warc", "op9_jaccard_join"])
+def test_matches_duckdb(spark, name):
+    import os
+
+    import duckdb
+    import pandas as pd
+
+    from quern.llm.queries import ORACLE_SQL, QUERIES
+
+    folder, c = "/root/testdata/sf0.001", duckdb.connect()
+    for f in os.listdir(folder):
+        c.sql(f"create view {f.split('.')[0]} as select * from read_parquet('{folder}/{f}')")
+    got, want = QUERIES[name](spark, folder).toPandas(), c.sql(ORACLE_SQL[name]).df()
+    plain = lambda df: sorted((tuple(None if pd.isna(v) else str(int(v)) if isinstance(v, float) else str(v) for v in r) for r in df[sorted(want.columns)].itertuples(index=False)), key=repr)
+    assert plain(got) == plain(want)
