@@ -110,7 +110,8 @@ def with_auto_increment(table: DataFrame, rows: DataFrame, column: str, order: l
     """
     high = F.greatest(F.lit(0), *(F.coalesce(F.lit(d.agg(F.max(column)).first()[0]), F.lit(0)) for d in (table, rows)))
     need = F.coalesce(F.col(column), F.lit(0)) == 0
-    some = rows.where(need).repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both passes deal alike
+    some = rows.where(need).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = some.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     sizes = {r["__part"]: r["n"] for r in at.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     start, starts = 0, {}

@@ -236,7 +236,11 @@ def check_constraint(spark, sf_dir):
 def load_data_round_trip(spark, sf_dir):
     """A file of tabs, escapes, empty fields and NULLs, written and loaded again."""
     text = F.when(C("c_custkey") % 3 == 1, "").when(C("c_custkey") % 3 == 2, F.concat("c_name", F.lit("\ta\\\nb")))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{gettempdir()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that they share")
+        shared = f"file://{gettempdir()}"
     path = f"{shared.rstrip('/')}/quern-load-{uuid.uuid4().hex}"
     save_data(table(spark, sf_dir, "customer").select("c_custkey", text.alias("s"), "c_acctbal"), path)
     return load_data(spark, path, "c_custkey bigint, s string, c_acctbal double")

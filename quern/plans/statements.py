@@ -61,3 +61,9 @@ _mysql("mysql_create_like", "SELECT k, n FROM c_l", "SELECT c_nationkey AS k, co
 _mysql("mysql_show_columns", "SHOW COLUMNS FROM region", "SELECT * FROM (VALUES ('r_regionkey', 'int', 'YES', '', NULL::VARCHAR, ''), ('r_name', 'string', 'YES', '', NULL, '')) t(\"Field\", \"Type\", \"Null\", \"Key\", \"Default\", \"Extra\")", "SELECT COUNT(*) FROM region INTO @x")
 _mysql("mysql_parameters", "SELECT o_orderkey FROM orders WHERE o_orderstatus = ? AND o_custkey < ? ORDER BY o_orderkey LIMIT ?", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_custkey < 50 ORDER BY o_orderkey LIMIT 12", parameters=("f", 50, 12))
 _mysql("mysql_view", "SELECT k, n FROM v_n WHERE n > 2", "SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 2", "CREATE OR REPLACE VIEW v_n AS SELECT c_nationkey AS k, COUNT(*) AS n FROM customer GROUP BY c_nationkey")
+_mysql("mysql_system", "SELECT BENCHMARK(10, 1 + 1) AS b, CURRENT_ROLE() AS r, SCHEMA() = DATABASE() AS s, SESSION_USER() AS su, SYSTEM_USER() AS sy, USER() AS u, NAME_CONST('x', 14) AS n, LOAD_FILE('/none') IS NULL AS l, ICU_VERSION() > '7' AS i, SLEEP(0) AS z, IS_UUID(UUID()) AS d, LENGTH(RANDOM_BYTES(5)) AS y, RAND() BETWEEN 0 AND 1 AS a, UUID_SHORT() > 0 AS h, VALIDATE_PASSWORD_STRENGTH('abcdEF1!') AS p, ROW_COUNT() AS c, LAST_INSERT_ID() AS t",
+       "SELECT 0 AS b, 'NONE' AS r, 1 AS s, 'root@%' AS su, 'root@%' AS sy, 'root@%' AS u, 14 AS n, 1 AS l, 1 AS i, 0 AS z, 1 AS d, 5 AS y, 1 AS a, 1 AS h, 100 AS p, 0 AS c, 0 AS t")
+_mysql("mysql_now", "SELECT NOW() = CURRENT_TIMESTAMP AS a, CURDATE() = CURRENT_DATE() AS b, SYSDATE() >= NOW() AS c, UTC_TIMESTAMP() IS NOT NULL AS d, LENGTH(CURTIME()) AS e, UTC_DATE() IS NULL AS f, LOCALTIME() = NOW() AS g, LENGTH(UTC_TIME()) AS h", "SELECT 1 AS a, 1 AS b, 1 AS c, 1 AS d, 8 AS e, 0 AS f, 1 AS g, 8 AS h")
+_mysql("mysql_xml", "SELECT c_custkey, EXTRACTVALUE(CONCAT('<a><b>', c_name, '</b></a>'), '/a/b') AS v, EXTRACTVALUE('<a/>', '/a/c') AS e FROM customer", "SELECT c_custkey, c_name AS v, '' AS e FROM customer")
+_mysql("mysql_periods", "SELECT o_orderkey, PERIOD_ADD(199800 + MONTH(o_orderdate), 11) AS a, PERIOD_DIFF(199901, 199800 + MONTH(o_orderdate)) AS d, MAKEDATE(1998, o_orderkey % 300) AS m, TO_DAYS(o_orderdate) AS t, INET_ATON('10.0.0.9') AS i FROM orders",
+       "SELECT o_orderkey, CAST((1998 * 12 + month(o_orderdate) - 1 + 11) // 12 * 100 + (1998 * 12 + month(o_orderdate) - 1 + 11) % 12 + 1 AS BIGINT) AS a, CAST(13 - month(o_orderdate) AS BIGINT) AS d, CASE WHEN o_orderkey % 300 > 0 THEN CAST(DATE '1998-01-01' + CAST(o_orderkey % 300 - 1 AS INT) AS DATE) END AS m, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719528 AS INT) AS t, CAST(167772169 AS BIGINT) AS i FROM orders")
