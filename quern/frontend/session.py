@@ -11,6 +11,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json import register
 from ..operators import dml
 from .translate import Translator, Unsupported, literal, string_value, tokens, translate
 
@@ -75,6 +76,7 @@ class Session:
         self.prepared: dict[str, str] = {}
         self.tables: dict[str, Table] = {}
         self.found_rows = self.row_count = self.last_insert_id = 0
+        register(spark)
 
     def register(self, name: str, df: DataFrame, keys: list[str] = (), auto: str | None = None, defaults: dict | None = None) -> None:
         """Makes a DataFrame a table of the session; keys are its primary key."""

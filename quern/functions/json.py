@@ -549,3 +549,45 @@ def json_table(df, c: Column, rows: str, columns: dict[str, tuple[str, str]], or
     for name, (path, kind_) in columns.items():
         out = out.withColumn(name, F.get_json_object("__v", path).try_cast(kind_))
     return out.drop("__n", "__v")
+
+
+def _unquote(text: str) -> str:
+    return parse(text) if len(text) > 1 and text[0] == text[-1] == '"' else text
+
+
+#: Functions for SQL text: what they do with a document and further values, their type, and which further values are documents.
+_NAMED = {
+    "json_extract": (_text(extract), "string", ()), "json_set": (_all(lambda d, p, v: put(d, p, v, True, True)), "string", ()), "json_insert": (_all(lambda d, p, v: put(d, p, v, False, True)), "string", ()), "json_replace": (_all(lambda d, p, v: put(d, p, v, True, False)), "string", ()),
+    "json_remove": (_text(remove), "string", ()), "json_array_append": (_all(array_append), "string", ()), "json_array_insert": (_all(array_insert), "string", ()), "json_merge_patch": (_text(merge_patch), "string", (1,)), "json_merge_preserve": (_text(merge_preserve), "string", (1,)), "json_merge": (_text(merge_preserve), "string", (1,)),
+    "json_contains": (lambda d, c, p="$": (lambda found: int(contains(found[0], c)) if found else _NOTHING)(find(d, legs(p))), "int", (1,)), "json_contains_path": (lambda d, how, *ps: int((all if how.lower() == "all" else any)(bool(find(d, legs(p))) for p in ps)), "int", ()), "json_overlaps": (lambda a, b: int(overlaps(a, b)), "int", (1,)),
+    "json_search": (_text(lambda d, how, text, escape=None, *ps: search(d, how.lower() == "all", text, escape or "\\", *ps)), "string", ()), "json_keys": (_text(lambda d, p="$": (lambda found: list(_sorted(found[0])) if found and isinstance(found[0], dict) else _NOTHING)(find(d, legs(p)))), "string", ()),
+    "json_length": (lambda d, p="$": (lambda found: (len(found[0]) if isinstance(found[0], (dict, list)) else 1) if found else _NOTHING)(find(d, legs(p))), "int", ()), "json_type": (kind, "string", ()), "json_depth": (depth, "int", ()), "json_pretty": (pretty, "string", ()), "json_storage_size": (lambda d: len(dump(d).encode()), "int", ()),
+    "json_schema_valid": (lambda s, d: int(not schema_errors(s, d)), "int", (1,)),
+}
+
+
+def register(spark) -> None:
+    """Makes the functions known to SQL text in a session; numbers, strings and NULLs are values, as in `_applied`."""
+    def made(f, documents, type_):
+        @F.pandas_udf(type_)
+        def run(*batch: pd.Series) -> pd.Series:
+            out = []
+            for row in zip(*(b.tolist() for b in batch)):
+                row = [None if v is None or not isinstance(v, str) and pd.isna(v) else v for v in row]
+                if row[0] is None:
+                    out.append(None)
+                    continue
+                value = f(parse(row[0]), *(parse(v) if i in documents and v is not None else v for i, v in enumerate(row[1:], 1)))
+                out.append(None if value is _NOTHING else value)
+            return pd.Series(out, dtype=object)
+
+        return run
+
+    for name, (f, type_, documents) in _NAMED.items():
+        spark.udf.register(name, made(f, documents, type_))
+
+    @F.pandas_udf("string")
+    def json_unquote_text(c: pd.Series) -> pd.Series:
+        return c.map(lambda v: None if v is None else _unquote(v))
+
+    spark.udf.register("json_unquote", json_unquote_text)

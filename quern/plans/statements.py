@@ -67,3 +67,5 @@ _mysql("mysql_now", "SELECT NOW() = CURRENT_TIMESTAMP AS a, CURDATE() = CURRENT_
 _mysql("mysql_xml", "SELECT c_custkey, EXTRACTVALUE(CONCAT('<a><b>', c_name, '</b></a>'), '/a/b') AS v, EXTRACTVALUE('<a/>', '/a/c') AS e FROM customer", "SELECT c_custkey, c_name AS v, '' AS e FROM customer")
 _mysql("mysql_periods", "SELECT o_orderkey, PERIOD_ADD(199800 + MONTH(o_orderdate), 11) AS a, PERIOD_DIFF(199901, 199800 + MONTH(o_orderdate)) AS d, MAKEDATE(1998, o_orderkey % 300) AS m, TO_DAYS(o_orderdate) AS t, INET_ATON('10.0.0.9') AS i FROM orders",
        "SELECT o_orderkey, CAST((1998 * 12 + month(o_orderdate) - 1 + 11) // 12 * 100 + (1998 * 12 + month(o_orderdate) - 1 + 11) % 12 + 1 AS BIGINT) AS a, CAST(13 - month(o_orderdate) AS BIGINT) AS d, CASE WHEN o_orderkey % 300 > 0 THEN CAST(DATE '1998-01-01' + CAST(o_orderkey % 300 - 1 AS INT) AS DATE) END AS m, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 719528 AS INT) AS t, CAST(167772169 AS BIGINT) AS i FROM orders")
+_mysql("mysql_json", "SELECT event_id, JSON_SET(props, '$.a', event_type, '$.k', 1) AS s, JSON_REMOVE(props, '$.k') AS r, JSON_CONTAINS(props, '7', '$.k') AS c, JSON_KEYS(props) AS k, JSON_LENGTH(props) AS l, JSON_TYPE(JSON_EXTRACT(props, '$.k')) AS t, JSON_MERGE_PATCH(props, '{\"z\": null}') AS m, props->>'$.k' AS u, JSON_VALID(props) AS v FROM events",
+       "SELECT event_id, '{\"a\": \"' || event_type || '\", \"k\": 1}' AS s, '{}' AS r, CAST(json_extract_string(props, '$.k') = '7' AS INT) AS c, '[\"k\"]' AS k, 1 AS l, 'INTEGER' AS t, props AS m, json_extract_string(props, '$.k') AS u, 1 AS v FROM events")
