@@ -283,8 +283,9 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
             cut = mine.mapInArrow(_cut(share, spark.sparkContext.broadcast(at)), _CUT)
         else:
             cut = mine.join(pivots, "region").mapInArrow(_cut(share), _CUT)
-        cut = Scratch(cut, "cut").df
-        out.append(cut.where("linked and key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")))
+        held = Scratch(cut, "cut")
+        cut = held.df
+        out.append(written(cut.where("linked and key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")), "links"))
         far = cut.where("not linked").groupBy("region").agg(F.min("d").alias("far"))
         rest = cut.join(far, "region").where((~F.col("linked")) | (F.col("d") >= F.col("far") - (1 - share / 100) - 1e-9)).where("key <> pivot")
         grown = written(rest.groupBy(F.col("parent").alias("region")).agg(F.count("*").alias("after")).join(large, "region").where(F.col("after") > GROWTH * F.col("sets")).select("region"), "grown")
@@ -292,6 +293,7 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
         lost = rows.join(drawn.select("region").distinct(), "region", "left_anti").select("region", "key", "n", "set")
         rest = rest.join(grown.withColumnRenamed("region", "parent"), "parent", "left_anti")
         rows = written(rest.select("region", "key", "n", "set").unionByName(lost), "rest")
+        held.drop()
     if not whole:
         return out
     rows = whole[0]
