@@ -106,19 +106,25 @@ def truncate(table: DataFrame) -> DataFrame:
 def with_auto_increment(table: DataFrame, rows: DataFrame, column: str, order: list[str]) -> DataFrame:
     """rows with `column` filled where it is NULL or 0: numbers go on after the largest of table and rows, in `order`.
 
-    Numbers are dealt in two steps, counts per range of `order` first, so that no task sees all rows.
+    Numbers are dealt in two steps, counts per range of `order` first, so that no task sees all rows. Bounds of
+    ranges come from a sample by hash, so that both passes cut alike; ties in `order` go by a hash of the row.
     """
-    high = F.greatest(F.lit(0), *(F.coalesce(F.lit(d.agg(F.max(column)).first()[0]), F.lit(0)) for d in (table, rows)))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     need = F.coalesce(F.col(column), F.lit(0)) == 0
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, so that both passes deal alike
-    some = rows.where(need).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    at = some.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    last, n = rows.agg(F.max(column), F.count_if(need)).first()
+    high = F.lit(max(0, last or 0, table.agg(F.max(column)).first()[0] or 0))
+    some, place = rows.where(need), F.struct(*order)
+    sample = some.where(F.pmod(F.xxhash64(*order), F.lit(max(1, n // (parts * 50)))) == 0).agg(F.array_sort(F.collect_set(place)).alias("__all"))
+    step = F.ceil(F.size("__all") / parts).cast("int")
+    bounds = sample.select(F.when(F.size("__all") > 0, F.filter("__all", lambda _, i: i % step == 0)).otherwise(F.col("__all")).alias("__bounds"))
+    at = some.crossJoin(F.broadcast(bounds)).withColumn("__part", F.size(F.filter("__bounds", lambda x: x <= place))).drop("__bounds")
     sizes = {r["__part"]: r["n"] for r in at.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     start, starts = 0, {}
     for p in sorted(sizes):
         starts[p], start = start, start + sizes[p]
     base = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv))[F.col("__part")] if starts else F.lit(0)
-    numbered = at.withColumn(column, (high + base + F.col("__in") + 1).cast(rows.schema[column].dataType)).drop("__part", "__in")
+    at = at.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order, F.xxhash64(*rows.columns))))
+    numbered = at.withColumn(column, (high + base + F.col("__in")).cast(rows.schema[column].dataType)).drop("__part", "__in")
     return rows.where(~need).unionByName(numbered.select(rows.columns))
 
 

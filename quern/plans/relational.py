@@ -205,8 +205,8 @@ def auto_increment(spark, sf_dir):
     """Rows without a number get those after the largest, in order."""
     c = table(spark, sf_dir, "customer")
     old = c.agg(F.max("c_custkey").alias("id"))
-    new = c.select(F.when(C("c_custkey") % 5 != 0, C("c_custkey")).alias("id"), "c_name")
-    return dml.with_auto_increment(old, new, "id", ["c_name"])
+    new = c.select(F.when(C("c_custkey") % 5 != 0, C("c_custkey")).alias("id"), "c_name", "c_custkey")
+    return dml.with_auto_increment(old, new, "id", ["c_custkey"]).drop("c_custkey")
 
 
 @_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 10")
