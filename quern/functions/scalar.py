@@ -180,8 +180,12 @@ def to_base64(s: Column) -> Column:
 
 
 def format_(x: Column, d: int) -> Column:
-    """FORMAT: grouped thousands, halves away from zero; a negative d counts as 0."""
-    return F.format_number(F.round(x.cast("decimal(38,12)"), max(d, 0)), max(d, 0))
+    """FORMAT: grouped thousands, halves away from zero; a negative d counts as 0.
+
+    A DOUBLE is rounded by its exact binary value and keeps the sign of a negative zero.
+    """
+    exact = F.format_number(F.round(x.cast("decimal(38,12)"), max(d, 0)), max(d, 0))
+    return F.when(F.typeof(x).isin("double", "float"), F.format_number(x.cast("double"), max(d, 0))).otherwise(exact)
 
 
 def weight_string(s: Column) -> Column:
