@@ -43,7 +43,6 @@ for _name, _text in {
     "join_full": "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 30) c FULL OUTER JOIN (SELECT * FROM supplier WHERE s_suppkey > 3) s ON c_custkey = s_suppkey",
     "join_using": "SELECT k, a, b FROM (SELECT c_nationkey AS k, count(*) AS a FROM customer GROUP BY 1) x JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier GROUP BY 1) y USING (k)",
     "join_natural": "SELECT k, a, b FROM (SELECT c_nationkey AS k, count(*) AS a FROM customer GROUP BY 1) x NATURAL LEFT JOIN (SELECT s_nationkey AS k, count(*) AS b FROM supplier GROUP BY 1) y",
-    "join_lateral": "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t",
     "cte_chain": "WITH a AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT n, count(*) AS m FROM a GROUP BY n) SELECT n, m FROM b",
     "having_alias": "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING n > 12",
     "null_join_rows": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderkey < 50 WHERE o_orderkey IS NOT DISTINCT FROM NULL",
@@ -63,6 +62,8 @@ for _name, _text in {
 }.items():
     _sql(_name, _text)
 _sql("count_distinct_row", "SELECT o_orderstatus, count(DISTINCT o_custkey, o_orderpriority) AS n FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(DISTINCT (o_custkey, o_orderpriority)) AS n FROM orders GROUP BY o_orderstatus")
+# Spark numbers the rows of a correlated query by its order only if all keys are output; else it relies on the order in which a shuffle delivers them
+_sql("join_lateral", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t", "SELECT c_custkey, o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 _sql("join_straight", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3")
 _sql("rollup_two", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderpriority) AS INT) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 _sql("cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, c_name FROM t JOIN customer ON c_custkey = n")
