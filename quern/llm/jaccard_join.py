@@ -3,8 +3,9 @@
 Jaccard distance is a metric, but sets of unrelated documents all lie near distance 1 from any pivot
 and from each other, so windows around pivots alone prune nothing among them. Before pivots are
 drawn, space is therefore cut by pigeonholes: shingles are dealt to so many parts by their hash that
-linked sets, which differ in few shingles, must have at least one part in common that is not empty. Sets
-connected by such equal parts are clusters; no link leaves a cluster.
+linked sets, which differ in few shingles, must have at least one part in common that is not empty, and mostly
+many. Two sets that meet in small groups of equal parts only are connected if they have as many in common as a
+linked pair must; all sets of a larger group are connected. Clusters are what is connected so; no link leaves a cluster.
 
 A cluster that fits a task is joined there. A larger one is cut by pivots: a set goes to the region
 of its nearest pivot, or, beyond RADIUS from all, to one outer region; and to each other region that
@@ -32,8 +33,10 @@ from .common import Scratch, connected, tune, written
 
 #: Sets, and shingles in them, that one task joins at once; pivots of a cut; cuts before blocks.
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
-#: Parts in which signatures are looked for repeats, one after another.
-PARTS = 6
+#: Parts in which signatures are looked for repeats, one after another; sets up to which those of a signature are counted pair by pair.
+PARTS, PAIRED = 6, 256
+#: Copies of a set that are on disk at once when blocks are joined.
+COPIES = 8
 #: Distance up to which a set belongs to its nearest pivot; growth in rows from which a cut is given up for blocks.
 RADIUS, GROWTH = 0.5, 1.5
 #: More regions, or more bytes of pivots, than this are told apart by a shuffle instead of being sent to every executor.
@@ -103,42 +106,54 @@ class Pigeonholes:
         return self.parts[c]
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of ascending distinct 64-bit hashes; none if only equal sets link."""
+        return self.signed(s)[0]
+
+    def signed(self, s: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
+        """Signatures of ascending distinct 64-bit hashes, none if only equal sets link; and (class, need, need_below).
+
+        Linked sets agree on more than `spare` parts of the layout for the smaller one's class, so on need = spare + 1 less
+        those that are empty in both: the larger need of the two sets is what they have in common at least (or 1, the signature of empty parts).
+        """
         if not len(s):
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), (0, 1, 1)
         own = int(np.log(len(s)) / np.log(1 / self.t) + 1e-9) if self.t < 1 else 0
+        need = {}
         mixed = (s ^ (s >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
         out = []
         for c in {own, max(0, own - 1)}:
             m, spare = self.layout(c)
+            need[c] = 1
             if m == 1:
                 continue
             part = np.arange(m, dtype=np.uint64)
             at = np.searchsorted(s, part * np.uint64((1 << 64) // m))
             full = np.diff(np.append(at, len(s))) > 0
             x = np.add.reduceat(mixed, at[full]) ^ ((part[full] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+            need[c] = int(spare + 1 - (m - full.sum()))
             if m - full.sum() > spare:
                 x = np.append(x, np.uint64(0))
             x = (x + np.uint64(c + 1)) * np.uint64(0xC2B2AE3D27D4EB4F)
             out.append(x ^ (x >> np.uint64(32)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return np.concatenate(out) if out else np.zeros(0, np.uint64), (own, need[own], need[max(0, own - 1)])
 
 
 def _signed(n: int, share: int):
-    """(doc_id, h, n_shingles, key, signs)"""
+    """(doc_id, h, n_shingles, key, signs, class, need, below)"""
 
     def run(batches):
         shingle, signs_of = Shingler(n), Pigeonholes(share)
         for b in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, signs, needs = [], [], [], []
             for t in b.column("text"):
                 s = shingle(t.as_py())
                 sizes.append(len(s))
                 keys.append(set_key(s.tobytes()) if len(s) else None)
-                signs.append(signs_of(s).view(np.int64))
+                found, need = signs_of.signed(s)
+                signs.append(found.view(np.int64))
+                needs.append(need)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
-                names=["doc_id", "h", "n_shingles", "key", "signs"],
+                [b.column("doc_id"), b.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64())), *(pa.array([x[i] for x in needs], pa.int32()) for i in range(3))],
+                names=["doc_id", "h", "n_shingles", "key", "signs", "class", "need", "below"],
             )
 
     return run
@@ -299,28 +314,46 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
     rows = whole[0]
     for x in whole[1:]:
         rows = rows.unionByName(x)
-    # block against block: each set meets each other one in some pair of blocks
+    # block against block: each set meets each other one in some pair of blocks; pairs of blocks are joined in several passes
     blocks = F.greatest(F.ceil(F.col("sets") / (REGION_SETS // 2)), F.ceil(F.col("shingles") / (REGION_SHINGLES // 2))).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(991)), F.col("blocks")).cast("int")
-    pair = rows.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = pair.select(F.concat("region", F.encode(F.concat_ws(".", F.lit(""), F.least("own", "other"), F.greatest("own", "other")), "utf-8")).alias("region"), "key", "set")
-    out.append(written(pair.repartition("region").sortWithinPartitions("region").mapInArrow(_joined(share), _EDGE), "links"))
+    held = Scratch(rows.select("region", "key", "set", blocks.alias("blocks")), "blocks")
+    passes = -(-(held.df.agg(F.max("blocks")).first()[0] or 1) // COPIES)
+    for k in range(passes):
+        pair = held.df.withColumn("own", own).withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.pmod(x + F.col("own"), F.lit(passes)) == k)))
+        pair = pair.select(F.concat("region", F.encode(F.concat_ws(".", F.lit(""), F.least("own", "other"), F.greatest("own", "other")), "utf-8")).alias("region"), "key", "set")
+        out.append(written(pair.repartition("region").sortWithinPartitions("region").mapInArrow(_joined(share), _EDGE), "links"))
+    held.drop()
     return out
 
 
 def _clusters(signed: DataFrame) -> DataFrame:
     """(id, region): sets, by the hash of their key, that signatures connect with others; region is the least of a cluster.
 
-    Signatures are looked for repeats in parts, so that only a part of them is on disk at once.
+    Signatures are looked for repeats in parts, so that only a part of them is on disk at once. Those of more than PAIRED sets
+    connect all of them. Two sets that have only others in common must have as many as linked sets have at least.
     """
-    some = signed.where(F.size("signs") > 0).select(F.xxhash64("key").alias("id"), "signs")
-    edges = None
+    some = signed.where(F.size("signs") > 0).select(F.xxhash64("key").alias("id"), "signs", "class", "need", "below")
+    found = None
     for part in range(PARTS):
         rows = some.select("id", F.explode(F.filter("signs", lambda x: F.pmod(x, F.lit(PARTS)) == part)).alias("t"))
         shared = Scratch(rows.groupBy("t").agg(F.min("id").alias("v"), F.max("id").alias("hi")).where("v < hi").select("t", "v"), "shared")
-        found = written(rows.join(shared.df, "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "members")
+        held = Scratch(rows.join(shared.df, "t").select("t", "id", "v").distinct(), "held")
+        many = held.df.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("t")
+        star = held.df.join(many, "t").where("id <> v").select(F.col("v").alias("u"), F.col("id").alias("v")).distinct()
+        few = held.df.join(many, "t", "left_anti").groupBy("t").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        after = lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("u"), y.alias("v")))
+        pairs = few.select(F.explode(F.flatten(F.transform("ids", after))).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("c"))
+        met = written(pairs.unionAll(star.select("u", "v", F.lit(None).cast("long").alias("c"))), "met")
         shared.drop()
-        edges = found if edges is None else edges.unionAll(found)
+        held.drop()
+        found = met if found is None else found.unionAll(met)
+    pairs = found.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max(F.col("c").isNull()).alias("whole"))
+    each = some.groupBy("id").agg(*(F.first(c).alias(c) for c in ("class", "need", "below")))
+    for i in "uv":
+        pairs = pairs.join(each.select(F.col("id").alias(i), *(F.col(c).alias(i + c) for c in ("class", "need", "below"))), i)
+    need = F.when(F.col("uclass") == F.col("vclass"), F.greatest("uneed", "vneed")).when(F.col("uclass") < F.col("vclass"), F.greatest("uneed", "vbelow")).otherwise(F.greatest("ubelow", "vneed"))
+    edges = written(pairs.where(F.col("whole") | (F.col("c") >= need)).select("u", "v"), "members")
     return connected(edges).select(F.col("node").alias("id"), F.col("root").alias("region"))
 
 
@@ -341,8 +374,8 @@ def _grouped(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]
     """(rows, groups): a row (doc_id, h, n_shingles, key) for each of docs, and (key, root) of the sets that link with others."""
     spark = tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    signed = Scratch(docs.mapInArrow(_signed(n, share), "doc_id long, h long, n_shingles long, key binary, signs array<bigint>"), "signed")
-    rows = written(signed.df.drop("signs"), "rows")
+    signed = Scratch(docs.mapInArrow(_signed(n, share), "doc_id long, h long, n_shingles long, key binary, signs array<bigint>, class int, need int, below int"), "signed")
+    rows = written(signed.df.drop("signs", "class", "need", "below"), "rows")
     cluster = written(_clusters(signed.df), "clusters")
     signed.drop()
     ids = rows.where("key is not null").select(F.xxhash64("doc_id", "h").alias("h"), "key", F.xxhash64("key").alias("id")).join(cluster, "id")
