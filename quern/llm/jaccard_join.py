@@ -35,6 +35,8 @@ from .common import Scratch, connected, tune, written
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
 #: Parts in which signatures are looked for repeats, one after another; sets up to which those of a signature are counted pair by pair.
 PARTS, PAIRED = 6, 256
+#: Share from which parts in common aren't counted: linked sets are cut into fewer, longer parts, which unlike sets rarely share.
+COUNTED_BELOW = 90
 #: Copies of a set that are on disk at once when blocks are joined.
 COPIES = 8
 #: Distance up to which a set belongs to its nearest pivot; growth in rows from which a cut is given up for blocks.
@@ -327,17 +329,23 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
     return out
 
 
-def _clusters(signed: DataFrame) -> DataFrame:
+def _clusters(signed: DataFrame, counted: bool = True) -> DataFrame:
     """(id, region): sets, by the hash of their key, that signatures connect with others; region is the least of a cluster.
 
     Signatures are looked for repeats in parts, so that only a part of them is on disk at once. Those of more than PAIRED sets
-    connect all of them. Two sets that have only others in common must have as many as linked sets have at least.
+    connect all of them. Two sets that have only others in common must have as many as linked sets have at least;
+    that takes more steps, and without counted any one in common connects.
     """
     some = signed.where(F.size("signs") > 0).select(F.xxhash64("key").alias("id"), "signs", "class", "need", "below")
     found = None
     for part in range(PARTS):
         rows = some.select("id", F.explode(F.filter("signs", lambda x: F.pmod(x, F.lit(PARTS)) == part)).alias("t"))
         shared = Scratch(rows.groupBy("t").agg(F.min("id").alias("v"), F.max("id").alias("hi")).where("v < hi").select("t", "v"), "shared")
+        if not counted:
+            met = written(rows.join(shared.df, "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "members")
+            shared.drop()
+            found = met if found is None else found.unionAll(met)
+            continue
         held = Scratch(rows.join(shared.df, "t").select("t", "id", "v").distinct(), "held")
         many = held.df.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("t")
         star = held.df.join(many, "t").where("id <> v").select(F.col("v").alias("u"), F.col("id").alias("v")).distinct()
@@ -348,6 +356,8 @@ def _clusters(signed: DataFrame) -> DataFrame:
         shared.drop()
         held.drop()
         found = met if found is None else found.unionAll(met)
+    if not counted:
+        return connected(found).select(F.col("node").alias("id"), F.col("root").alias("region"))
     pairs = found.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max(F.col("c").isNull()).alias("whole"))
     each = some.groupBy("id").agg(*(F.first(c).alias(c) for c in ("class", "need", "below")))
     for i in "uv":
@@ -376,7 +386,7 @@ def _grouped(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     signed = Scratch(docs.mapInArrow(_signed(n, share), "doc_id long, h long, n_shingles long, key binary, signs array<bigint>, class int, need int, below int"), "signed")
     rows = written(signed.df.drop("signs", "class", "need", "below"), "rows")
-    cluster = written(_clusters(signed.df), "clusters")
+    cluster = written(_clusters(signed.df, share < COUNTED_BELOW), "clusters")
     signed.drop()
     ids = rows.where("key is not null").select(F.xxhash64("doc_id", "h").alias("h"), "key", F.xxhash64("key").alias("id")).join(cluster, "id")
     active = written(ids.groupBy("key", "region").agg(F.min("h").alias("h")), "active")  # of equal sets, one document
