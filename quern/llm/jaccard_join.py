@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, connected, tune, written
+from .common import Scratch, connected, even, tune, written
 
 #: Sets, and shingles in them, that one task joins at once; pivots of a cut; cuts before blocks.
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
@@ -280,7 +280,7 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
         large = (F.col("sets") > REGION_SETS) | (F.col("shingles") > REGION_SHINGLES)
         large = size.where(large & (F.col("sets") > 1))
         n_large = large.count()
-        names = F.broadcast(large) if n_large <= SEND_REGIONS else large
+        names = F.broadcast(large) if n_large <= SEND_REGIONS else even(large)
         small = rows.join(names.select("region"), "region", "left_anti") if n_large else rows
         out.append(written(small.select("region", "key", "set").repartition("region").sortWithinPartitions("region").mapInArrow(_joined(share), _EDGE), "links"))
         if not n_large:
@@ -299,23 +299,21 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
                 at.setdefault(bytes(r["region"]), []).append((bytes(r["key"]), bytes(r["set"])))
             cut = mine.mapInArrow(_cut(share, spark.sparkContext.broadcast(at)), _CUT)
         else:
-            cut = mine.join(pivots, "region").mapInArrow(_cut(share), _CUT)
+            cut = mine.join(even(pivots), "region").mapInArrow(_cut(share), _CUT)
         held = Scratch(cut, "cut")
         cut = held.df
         out.append(written(cut.where("linked and key <> pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v")), "links"))
         far = cut.where("not linked").groupBy("region").agg(F.min("d").alias("far"))
-        rest = cut.join(far, "region").where((~F.col("linked")) | (F.col("d") >= F.col("far") - (1 - share / 100) - 1e-9)).where("key <> pivot")
+        rest = cut.join(even(far), "region").where((~F.col("linked")) | (F.col("d") >= F.col("far") - (1 - share / 100) - 1e-9)).where("key <> pivot")
         grown = written(rest.groupBy(F.col("parent").alias("region")).agg(F.count("*").alias("after")).join(large, "region").where(F.col("after") > GROWTH * F.col("sets")).select("region"), "grown")
-        whole.append(rows.join(grown, "region", "left_semi"))
+        whole.append(rows.join(even(grown), "region", "left_semi"))
         lost = rows.join(drawn.select("region").distinct(), "region", "left_anti").select("region", "key", "n", "set")
         rest = rest.join(grown.withColumnRenamed("region", "parent"), "parent", "left_anti")
         rows = written(rest.select("region", "key", "n", "set").unionByName(lost), "rest")
         held.drop()
     if not whole:
         return out
-    rows = whole[0]
-    for x in whole[1:]:
-        rows = rows.unionByName(x)
+    rows = _all([x.select("region", "key", "n", "set", "sets", "shingles") for x in whole])
     # block against block: each set meets each other one in some pair of blocks; pairs of blocks are joined in several passes
     blocks = F.greatest(F.ceil(F.col("sets") / (REGION_SETS // 2)), F.ceil(F.col("shingles") / (REGION_SHINGLES // 2))).cast("int")
     own = F.pmod(F.xxhash64("key", F.lit(991)), F.col("blocks")).cast("int")
@@ -329,39 +327,62 @@ def join_regions(rows: DataFrame, share: int) -> list[DataFrame]:
     return out
 
 
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for x in tables[1:]:
+        out = out.unionAll(x)
+    return out
+
+
+def _able(few: DataFrame, some: DataFrame) -> DataFrame:
+    """(id) of sets with as many signatures in few (t, id) as one of a linked pair has in common at least."""
+    least = some.groupBy("id").agg(F.min(F.least("need", "below")).alias("least"))
+    return few.groupBy("id").agg(F.count("*").alias("c")).join(even(least), "id").where("c >= least").select("id")
+
+
+def _pairs(few: DataFrame) -> DataFrame:
+    """(u, v, c): sets of few (t, id) that have c signatures in common."""
+    groups = few.groupBy("t").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    after = lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("u"), y.alias("v")))
+    return groups.select(F.explode(F.flatten(F.transform("ids", after))).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("c"))
+
+
 def _clusters(signed: DataFrame, counted: bool = True) -> DataFrame:
     """(id, region): sets, by the hash of their key, that signatures connect with others; region is the least of a cluster.
 
     Signatures are looked for repeats in parts, so that only a part of them is on disk at once. Those of more than PAIRED sets
-    connect all of them. Two sets that have only others in common must have as many as linked sets have at least;
-    that takes more steps, and without counted any one in common connects.
+    connect all of them. Two sets that have only others in common must have as many as linked sets have at least, so that a set
+    that shares fewer, with whatever sets, is in no pair; that takes more steps, and without counted any one in common connects.
     """
     some = signed.where(F.size("signs") > 0).select(F.xxhash64("key").alias("id"), "signs", "class", "need", "below")
-    found = None
+    found, held = None, []
     for part in range(PARTS):
         rows = some.select("id", F.explode(F.filter("signs", lambda x: F.pmod(x, F.lit(PARTS)) == part)).alias("t"))
         shared = Scratch(rows.groupBy("t").agg(F.min("id").alias("v"), F.max("id").alias("hi")).where("v < hi").select("t", "v"), "shared")
         if not counted:
-            met = written(rows.join(shared.df, "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "members")
+            met = written(rows.join(even(shared.df), "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "members")
             shared.drop()
             found = met if found is None else found.unionAll(met)
             continue
-        held = Scratch(rows.join(shared.df, "t").select("t", "id", "v").distinct(), "held")
-        many = held.df.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("t")
-        star = held.df.join(many, "t").where("id <> v").select(F.col("v").alias("u"), F.col("id").alias("v")).distinct()
-        few = held.df.join(many, "t", "left_anti").groupBy("t").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        after = lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("u"), y.alias("v")))
-        pairs = few.select(F.explode(F.flatten(F.transform("ids", after))).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("c"))
-        met = written(pairs.unionAll(star.select("u", "v", F.lit(None).cast("long").alias("c"))), "met")
+        both = Scratch(rows.join(even(shared.df), "t").select("t", "id", "v").distinct(), "held")
+        many = both.df.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("t")
+        star = written(both.df.join(even(many), "t").where("id <> v").select(F.col("v").alias("u"), F.col("id").alias("v"), F.lit(None).cast("long").alias("c")).distinct(), "met")
+        held.append(Scratch(both.df.join(even(many), "t", "left_anti").select("t", "id"), "few"))
         shared.drop()
-        held.drop()
-        found = met if found is None else found.unionAll(met)
+        both.drop()
+        found = star if found is None else found.unionAll(star)
+    if counted:
+        able = written(_able(_all([few.df for few in held]), some), "able")
+        for few in held:
+            met = written(_pairs(few.df.join(even(able), "id")), "met")
+            few.drop()
+            found = found.unionAll(met)
     if not counted:
         return connected(found).select(F.col("node").alias("id"), F.col("root").alias("region"))
     pairs = found.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max(F.col("c").isNull()).alias("whole"))
     each = some.groupBy("id").agg(*(F.first(c).alias(c) for c in ("class", "need", "below")))
     for i in "uv":
-        pairs = pairs.join(each.select(F.col("id").alias(i), *(F.col(c).alias(i + c) for c in ("class", "need", "below"))), i)
+        pairs = pairs.join(even(each.select(F.col("id").alias(i), *(F.col(c).alias(i + c) for c in ("class", "need", "below")))), i)
     need = F.when(F.col("uclass") == F.col("vclass"), F.greatest("uneed", "vneed")).when(F.col("uclass") < F.col("vclass"), F.greatest("uneed", "vbelow")).otherwise(F.greatest("ubelow", "vneed"))
     edges = written(pairs.where(F.col("whole") | (F.col("c") >= need)).select("u", "v"), "members")
     return connected(edges).select(F.col("node").alias("id"), F.col("root").alias("region"))
@@ -388,7 +409,7 @@ def _grouped(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]
     rows = written(signed.df.drop("signs", "class", "need", "below"), "rows")
     cluster = written(_clusters(signed.df, share < COUNTED_BELOW), "clusters")
     signed.drop()
-    ids = rows.where("key is not null").select(F.xxhash64("doc_id", "h").alias("h"), "key", F.xxhash64("key").alias("id")).join(cluster, "id")
+    ids = rows.where("key is not null").select(F.xxhash64("doc_id", "h").alias("h"), "key", F.xxhash64("key").alias("id")).join(even(cluster), "id")
     active = written(ids.groupBy("key", "region").agg(F.min("h").alias("h")), "active")  # of equal sets, one document
     mask = spark.sparkContext.broadcast(_bitmap(active.select("h"), active.count()))
 
@@ -405,12 +426,9 @@ def _grouped(docs: DataFrame, n: int, share: int) -> tuple[DataFrame, DataFrame]
 
     sets = docs.select("text", F.xxhash64("doc_id", "h").alias("h")).mapInArrow(wanted, "key binary, n long, set binary")
     sets = sets.groupBy("key").agg(F.first("n").alias("n"), F.first("set").alias("set"))  # rows may repeat
-    members = written(sets.join(active.select("key", F.encode(F.col("region").cast("string"), "utf-8").alias("region")), "key").select("region", "key", "n", "set"), "sets")
+    members = written(sets.join(even(active.select("key", F.encode(F.col("region").cast("string"), "utf-8").alias("region"))), "key").select("region", "key", "n", "set"), "sets")
     links = join_regions(members, share)
-    edges = links[0]
-    for x in links[1:]:
-        edges = edges.unionAll(x)
-    return rows, written(connected(edges).select(F.col("node").alias("key"), "root"), "groups")
+    return rows, written(connected(_all(links)).select(F.col("node").alias("key"), "root"), "groups")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
@@ -423,10 +441,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, share: int = 80) -> DataFram
     """
     rows, groups = _grouped(docs, n, share)
     some = rows.where("key is not null")
-    found = some.join(groups, "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    found = some.join(even(groups), "key").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     least = some.groupBy("key").agg(F.min("doc_id").alias("own"))
-    by_key = least.join(groups, "key", "left").join(found, "root", "left").select("key", F.coalesce("component_id", "own").alias("component_id"))
-    out = some.select("doc_id", "n_shingles", "key").join(by_key, "key").select("doc_id", "n_shingles", "component_id")
+    by_key = least.join(even(groups), "key", "left").join(even(found), "root", "left").select("key", F.coalesce("component_id", "own").alias("component_id"))
+    out = some.select("doc_id", "n_shingles", "key").join(even(by_key), "key").select("doc_id", "n_shingles", "component_id")
     return out.unionAll(rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -439,13 +457,13 @@ def one_of_each(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
     rows, groups = _grouped(docs, n, share)
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")
     some = rows.where("key is not null").select("key", place.alias("at"))
-    by_key = some.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("c")).join(groups, "key", "left")
+    by_key = some.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("c")).join(even(groups), "key", "left")
     several = written(by_key.where("c > 1 or root is not null").select("key", F.coalesce("root", "key").alias("root"), "first"), "several")
     keep = several.groupBy("root").agg(F.min("first").alias("keep"))
-    copies = some.join(several.join(keep, "root").select("key", "keep"), "key").groupBy("at", "keep").agg(F.count("*").alias("c"))
+    copies = some.join(even(several.join(even(keep), "root").select("key", "keep")), "key").groupBy("at", "keep").agg(F.count("*").alias("c"))
     # what to do with all rows of an id and a text: remove them, or all but one
     todo = written(copies.where("at <> keep or c > 1").select(F.col("at.doc_id").alias("__id"), F.col("at.h").alias("__h"), (F.col("at") == F.col("keep")).alias("__one")), "copies")
     own = docs.withColumn("__own", F.xxhash64(F.col("text").cast("string")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__h"))
-    stay = own.join(todo, same, "left_anti").select(docs.columns)
-    return stay.unionAll(own.join(todo.where("__one"), same).dropDuplicates(["__id", "__h"]).select(docs.columns))
+    stay = own.join(even(todo), same, "left_anti").select(docs.columns)
+    return stay.unionAll(own.join(even(todo.where("__one")), same).dropDuplicates(["__id", "__h"]).select(docs.columns))
