@@ -35,6 +35,8 @@ from .common import Scratch, connected, even, tune, written
 REGION_SETS, REGION_SHINGLES, PIVOTS, CUTS = 512, 1 << 21, 8, 4
 #: Parts in which signatures are looked for repeats, one after another; sets up to which those of a signature are counted pair by pair.
 PARTS, PAIRED = 6, 256
+#: Pairs for each row from which near copies are put together before sets are paired.
+CROWDED = 8
 #: Share from which parts in common aren't counted: linked sets are cut into fewer, longer parts, which unlike sets rarely share.
 COUNTED_BELOW = 90
 #: Copies of a set that are on disk at once when blocks are joined.
@@ -347,12 +349,51 @@ def _pairs(few: DataFrame) -> DataFrame:
     return groups.select(F.explode(F.flatten(F.transform("ids", after))).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("c"))
 
 
+def _starred(few: DataFrame) -> DataFrame:
+    """(u, v, c): sets of few (t, id) and the least set v of a signature, which have c such signatures in common."""
+    least = few.groupBy("t").agg(F.min("id").alias("v"))
+    return few.join(even(least), "t").where("id <> v").groupBy(F.col("id").alias("u"), "v").agg(F.count("*").alias("c"))
+
+
+def _pruned(few: DataFrame, least: DataFrame) -> DataFrame:
+    """few (t, id) without signatures of one set, and then without sets that have fewer than they need; least: (id, least)."""
+    shared = few.groupBy("t").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("t")
+    few = few.join(even(shared), "t")
+    own = few.groupBy("id").agg(F.count("*").alias("c")).join(even(least.select("id", "least")), "id").where("c >= least").select("id")
+    return few.join(even(own), "id").select("t", "id")
+
+
+def _able_pairs(few: DataFrame, least: DataFrame) -> DataFrame:
+    """(u, v, c): sets of few (t, id) that have c signatures in common, all pairs with as many as one of them needs at least.
+
+    Of sets that need n in common, one is not among the n - 1 most frequent signatures of either: pairs are made of the others, and counted by all.
+    """
+    often = few.groupBy("t").agg(F.count("*").alias("k"))
+    lists = few.join(even(often), "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("ts")).join(even(least.select("id", "least")), "id")
+    lists = written(lists.where(F.size("ts") >= F.col("least")).select("id", "least", F.col("ts.t").alias("ts")), "lists")
+    rare = lists.select("id", F.explode(F.slice("ts", F.lit(1), F.size("ts") - F.greatest("least", F.lit(1)) + 1)).alias("t"))
+    pairs = _pairs(rare.select("t", "id")).select("u", "v")
+    for i in "uv":
+        pairs = pairs.join(even(lists.select(F.col("id").alias(i), F.col("ts").alias(i + "ts"))), i)
+    return pairs.select("u", "v", F.size(F.array_intersect("uts", "vts")).alias("c"))
+
+
+def _enough(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """(u, v) of pairs (u, v, c) with a c that linked sets have at least. each: (id, class, need, below, least); class is null for several sets, of which each two need `least`."""
+    for i in "uv":
+        pairs = pairs.join(even(each.select(F.col("id").alias(i), *(F.col(c).alias(i + c) for c in ("class", "need", "below", "least")))), i)
+    need = F.when(F.col("uclass") == F.col("vclass"), F.greatest("uneed", "vneed")).when(F.col("uclass") < F.col("vclass"), F.greatest("uneed", "vbelow")).when(F.col("uclass") > F.col("vclass"), F.greatest("ubelow", "vneed"))
+    return pairs.where(F.col("c") >= F.coalesce(need, F.greatest("uleast", "vleast"))).select("u", "v")
+
+
 def _clusters(signed: DataFrame, counted: bool = True) -> DataFrame:
     """(id, region): sets, by the hash of their key, that signatures connect with others; region is the least of a cluster.
 
     Signatures are looked for repeats in parts, so that only a part of them is on disk at once. Those of more than PAIRED sets
     connect all of them. Two sets that have only others in common must have as many as linked sets have at least, so that a set
     that shares fewer, with whatever sets, is in no pair; that takes more steps, and without counted any one in common connects.
+    Near copies, which share most signatures with the least of them, are connected with that one first and stand as one set among
+    the pairs, so that these don't grow with the square of their number; two such groups need what any two of their sets need.
     """
     some = signed.where(F.size("signs") > 0).select(F.xxhash64("key").alias("id"), "signs", "class", "need", "below")
     found, held = None, []
@@ -366,25 +407,32 @@ def _clusters(signed: DataFrame, counted: bool = True) -> DataFrame:
             continue
         both = Scratch(rows.join(even(shared.df), "t").select("t", "id", "v").distinct(), "held")
         many = both.df.groupBy("t").agg(F.count("*").alias("k")).where(F.col("k") > PAIRED).select("t")
-        star = written(both.df.join(even(many), "t").where("id <> v").select(F.col("v").alias("u"), F.col("id").alias("v"), F.lit(None).cast("long").alias("c")).distinct(), "met")
+        star = written(both.df.join(even(many), "t").where("id <> v").select(F.col("id").alias("u"), "v").distinct(), "met")
         held.append(Scratch(both.df.join(even(many), "t", "left_anti").select("t", "id"), "few"))
         shared.drop()
         both.drop()
         found = star if found is None else found.unionAll(star)
-    if counted:
-        able = written(_able(_all([few.df for few in held]), some), "able")
-        for few in held:
-            met = written(_pairs(few.df.join(even(able), "id")), "met")
-            few.drop()
-            found = found.unionAll(met)
     if not counted:
         return connected(found).select(F.col("node").alias("id"), F.col("root").alias("region"))
-    pairs = found.groupBy("u", "v").agg(F.sum("c").alias("c"), F.max(F.col("c").isNull()).alias("whole"))
-    each = some.groupBy("id").agg(*(F.first(c).alias(c) for c in ("class", "need", "below")))
-    for i in "uv":
-        pairs = pairs.join(even(each.select(F.col("id").alias(i), *(F.col(c).alias(i + c) for c in ("class", "need", "below")))), i)
-    need = F.when(F.col("uclass") == F.col("vclass"), F.greatest("uneed", "vneed")).when(F.col("uclass") < F.col("vclass"), F.greatest("uneed", "vbelow")).otherwise(F.greatest("ubelow", "vneed"))
-    edges = written(pairs.where(F.col("whole") | (F.col("c") >= need)).select("u", "v"), "members")
+    few = _all([x.df for x in held])
+    able = _able(few, some)
+    few = written(few.join(even(able), "id").select("t", "id"), "able")
+    for x in held:
+        x.drop()
+    each = some.join(even(few.select("id").distinct()), "id").groupBy("id").agg(*(F.first(c).alias(c) for c in ("class", "need", "below")))
+    each = written(each.withColumn("least", F.least("need", "below")), "each")
+    few = written(_pruned(few, each), "able")
+    k = F.col("k")
+    crowd = few.groupBy("t").agg(F.count("*").alias("k")).agg(F.sum(k * (k - 1) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+    if (crowd["pairs"] or 0) > CROWDED * (crowd["rows"] or 0):
+        close = written(_enough(_starred(few), each), "close")
+        found = found.unionAll(close)
+        root = written(connected(close).select(F.col("node").alias("id"), "root"), "near")
+        first, one = F.coalesce("root", "id"), F.count("*") == 1
+        each = each.join(even(root), "id", "left").groupBy(first.alias("id")).agg(*(F.when(one, F.first(c)).alias(c) for c in ("class", "need", "below")), F.min("least").alias("least"))
+        each = written(each, "each")
+        few = written(_pruned(few.join(even(root), "id", "left").select("t", first.alias("id")).distinct(), each), "able")
+    edges = written(found.unionAll(_enough(_able_pairs(few, each), each)), "members")
     return connected(edges).select(F.col("node").alias("id"), F.col("root").alias("region"))
 
 

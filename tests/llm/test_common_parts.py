@@ -48,6 +48,27 @@ def test_a_passage_in_common_connects_nothing(spark):
     assert got == {k: k - 40 if k >= 40 else k for k in range(45)}
 
 
+def test_near_copies_are_not_paired_with_each_other(spark, monkeypatch):
+    """A group of near copies makes no pairs that grow with its square, also beside others of half its text; each group is one cluster."""
+    from pyspark.sql import functions as F
+
+    from quern.llm import jaccard_join as J
+
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(1 << 40)}"
+    base = [word() for _ in range(300)]
+    half = base[:150] + [word() for _ in range(150)]
+    texts = [" ".join([*b[:k], word(), *b[k + 1 :]]) for b in (base, half) for k in range(0, 300, 3)]
+    d = docs(spark, texts).withColumn("h", F.xxhash64("text"))
+    signed = d.mapInArrow(J._signed(5, 80), "doc_id long, h long, n_shingles long, key binary, signs array<bigint>, class int, need int, below int")
+    made, pairs = [], J._pairs
+    monkeypatch.setattr(J, "_pairs", lambda few: (made.append(pairs(few).agg(F.sum("c")).first()[0] or 0), pairs(few))[1])
+    assert sum(J._clusters(signed).groupBy("region").count().rdd.map(lambda x: x[1]).collect()) == 200
+    assert sum(made) <= 200  # of some 200,000
+    got = {x.doc_id: x.component_id for x in J.jaccard_components(d, 5, 80).collect()}
+    assert got == {k: k - k % 100 for k in range(200)}
+
+
 def test_blocks_in_passes(spark, monkeypatch):
     """A region that pivots can't cut is joined block against block, in any number of passes."""
     from quern.llm import jaccard_join as J
